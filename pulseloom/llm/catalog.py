@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, language_id, packing, pii, ring_shards, wu_manber
 
 QUERIES = {
+    "op1_packing": packing.query,
+    "op4_wu_manber": wu_manber.query,
+    "op5_pii": pii.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op8_ring_shards": ring_shards.query,
+    "op10_language_id": language_id.query,
 }
 
 ORACLES = {
+    "op4_wu_manber": wu_manber.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
 }
