@@ -52,6 +52,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the cleaner drop the shuffle files of finished steps, which it does once the driver has collected its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint behind a check of the counted rows; beyond the limit the plan shuffles."""
     return F.broadcast(df) if rows <= limit else df
