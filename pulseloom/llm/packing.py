@@ -34,11 +34,12 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
     end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(vocabulary).encode
+        encode = tokens.encoder(vocabulary).encode_all
         for batch in batches:
             out: list[list[int | None]] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = memoryview(encode(text.as_py() or "") + end)
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
+                ids = memoryview(data + end)
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]

@@ -11,11 +11,13 @@ import re
 
 import numpy as np
 
-#: Chunks a worker remembers; when there are more it starts anew, which costs time and changes nothing.
-MEMORY = 600_000
+#: Chunks, and words within chunks, that a worker remembers; when there are more it starts anew, which costs time and
+#: changes nothing.
+MEMORY = 700_000
 
 #: str.split() parts at these four too, the vocabulary does not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
+_MARKS = ".,;:!?"
 
 _encoders: dict[str, ChunkEncoder] = {}
 
@@ -24,27 +26,58 @@ class ChunkEncoder:
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
         self.known: dict[str, bytes] = {}
+        #: Ids of words of letters alone. Marks after a word are split from it, so their ids follow the word's.
+        self.words: dict[str, bytes] = {}
+
+    def _batch(self, chunks: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(chunks), 4096):
+            out += [np.array(made.ids, "<u4").tobytes() for made in self.tokenizer.encode_batch(chunks[i : i + 4096], add_special_tokens=False)]
+        return out
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, encoded as one text."""
+        made = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        of, ids = np.array(made.word_ids, np.int64), np.array(made.ids, "<u4")
+        cuts = np.flatnonzero(np.diff(of)) + 1
+        if len(cuts) + 1 != len(words):  # a letter that does not stay one letter
+            return self._batch(words)
+        data, at = ids.tobytes(), [0, *(4 * cuts).tolist(), 4 * len(ids)]
+        return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > MEMORY:
+        cut, others = [], []
+        for c in chunks:
+            word = c.rstrip(_MARKS)
+            if word.isalpha():
+                cut.append((c, word.lower() if word.isascii() else word, c[len(word) :]))
+            else:
+                others.append(c)
+        if len(self.words) > MEMORY:
+            self.words.clear()
+        new = list({w for _, w, _ in cut} - self.words.keys())
+        if new:
+            self.words.update(zip(new, self._letters(new), strict=True))
+        marks = list({m for _, _, m in cut if m})
+        ends = dict(zip(marks, self._batch(marks), strict=True)) | {"": b""}
+        self.known.update((c, self.words[w] + ends[m]) for c, w, m in cut)
+        self.known.update(zip(others, self._batch(others), strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, little-endian."""
+        chunks = [None if _NOT_SPACE.search(t) else t.split() for t in texts]
+        here = set().union(*[c for c in chunks if c])
+        if len(self.known) + len(here) > MEMORY:
             self.known.clear()
-        for i in range(0, len(chunks), 4096):
-            part = chunks[i : i + 4096]
-            for chunk, made in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(made.ids, "<u4").tobytes()
+        new = list(here - self.known.keys())
+        if new:
+            self._learn(new)
+        find = self.known.__getitem__
+        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        return [whole(t) if c is None else b"".join(map(find, c)) for t, c in zip(texts, chunks, strict=True)]
 
     def encode(self, text: str) -> bytes:
-        if _NOT_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-            if len(self.known) + len(new) > MEMORY:
-                new = list(dict.fromkeys(chunks))
-            self._learn(new)
-            return b"".join(map(self.known.__getitem__, chunks))
+        return self.encode_all([text])[0]
 
 
 def encoder(name: str) -> ChunkEncoder:
