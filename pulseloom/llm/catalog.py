@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, packing, pii, ring_shards, wu_manber
+from . import chat, ctw, exact_dedup, language_id, packing, pii, ring_shards, wu_manber
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op3_ctw": ctw.query,
     "op4_wu_manber": wu_manber.query,
     "op5_pii": pii.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_chat": chat.query,
     "op8_ring_shards": ring_shards.query,
     "op10_language_id": language_id.query,
 }
