@@ -1,7 +1,9 @@
-"""Token ids of whole texts by the `tokenizers` library, memoised by white-space-separated chunk.
+"""Token ids of whole texts by the `tokenizers` library, memoised by the pieces that its vocabulary cuts a text into.
 
-The vocabulary drops white space before it splits a text, so a text's ids are the ids of its chunks laid end to end. A
-worker keeps the ids of the chunks it has met, as little-endian 32-bit bytes, and asks the library for the rest only.
+The vocabulary lowers a text, drops white space and cuts it into runs of letters, single digits and runs of marks, so a
+text's ids are the ids of its pieces laid end to end. A worker keeps the ids of the pieces it has met, as little-endian
+32-bit bytes, and asks the library for the rest only. Texts with characters beyond ASCII and the letters of Latin-1 are
+not cut here but at white space, or not at all.
 """
 
 from __future__ import annotations
@@ -11,13 +13,15 @@ import re
 
 import numpy as np
 
-#: Chunks, and words within chunks, that a worker remembers; when there are more it starts anew, which costs time and
-#: changes nothing.
-MEMORY = 700_000
+#: Pieces that a worker remembers; when there are more it starts anew, which costs time and changes nothing.
+MEMORY = 900_000
 
+#: The letters whose lower case and composition are one character each.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff\u0153"
+_OTHER = re.compile("[^\x00-\x1b\x20-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0152\u0153]")
+_PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
 #: str.split() parts at these four too, the vocabulary does not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
-_MARKS = ".,;:!?"
 
 _encoders: dict[str, ChunkEncoder] = {}
 
@@ -26,8 +30,6 @@ class ChunkEncoder:
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
         self.known: dict[str, bytes] = {}
-        #: Ids of words of letters alone. Marks after a word are split from it, so their ids follow the word's.
-        self.words: dict[str, bytes] = {}
 
     def _batch(self, chunks: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -35,7 +37,7 @@ class ChunkEncoder:
             out += [np.array(made.ids, "<u4").tobytes() for made in self.tokenizer.encode_batch(chunks[i : i + 4096], add_special_tokens=False)]
         return out
 
-    def _letters(self, words: list[str]) -> list[bytes]:
+    def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters, encoded as one text."""
         made = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         of, ids = np.array(made.word_ids, np.int64), np.array(made.ids, "<u4")
@@ -45,36 +47,26 @@ class ChunkEncoder:
         data, at = ids.tobytes(), [0, *(4 * cuts).tolist(), 4 * len(ids)]
         return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        cut, others = [], []
-        for c in chunks:
-            word = c.rstrip(_MARKS)
-            if word.isalpha():
-                cut.append((c, word.lower() if word.isascii() else word, c[len(word) :]))
-            else:
-                others.append(c)
-        if len(self.words) > MEMORY:
-            self.words.clear()
-        new = list({w for _, w, _ in cut} - self.words.keys())
-        if new:
-            self.words.update(zip(new, self._letters(new), strict=True))
-        marks = list({m for _, _, m in cut if m})
-        ends = dict(zip(marks, self._batch(marks), strict=True)) | {"": b""}
-        self.known.update((c, self.words[w] + ends[m]) for c, w, m in cut)
-        self.known.update(zip(others, self._batch(others), strict=True))
+    def _pieces(self, text: str) -> list[str] | None:
+        if not _OTHER.search(text) and "<|" not in text:
+            return _PIECE.findall(text.lower())
+        return None if _NOT_SPACE.search(text) else text.split()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian."""
-        chunks = [None if _NOT_SPACE.search(t) else t.split() for t in texts]
-        here = set().union(*[c for c in chunks if c])
+        pieces = [self._pieces(t) for t in texts]
+        here = set().union(*[p for p in pieces if p])
         if len(self.known) + len(here) > MEMORY:
             self.known.clear()
-        new = list(here - self.known.keys())
+        new = here.difference(self.known)
         if new:
-            self._learn(new)
+            words = list(filter(str.isalpha, new))
+            others = list(new.difference(words))
+            self.known.update(zip(words, self._words(words) if words else [], strict=True))
+            self.known.update(zip(others, self._batch(others), strict=True))
         find = self.known.__getitem__
         whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        return [whole(t) if c is None else b"".join(map(find, c)) for t, c in zip(texts, chunks, strict=True)]
+        return [whole(t) if p is None else b"".join(map(find, p)) for t, p in zip(texts, pieces, strict=True)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
