@@ -30,12 +30,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import arrays, common
 
 #: Bytes of context; a gram is the context and the byte that follows, in one 64-bit integer.
 DEPTH = 6
 #: Bytes of text in a block.
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 16_000_000
 #: The end of a text, a byte that no word has; it is coded like any other.
 END = 10
 #: Bytes of text for each task that sums and weights grams, and blocks whose arrays one task sums.
@@ -174,64 +174,6 @@ def training(doc_id: Column) -> Column:
     return F.coalesce(common.crc32_of_id(doc_id) % 5 != 1, F.lit(True))
 
 
-class Distinct:
-    """The distinct grams of a block, sorted, and how often its training texts hold them."""
-
-    #: Grams gathered before they are sorted and counted, and runs of them before those are merged.
-    GATHER, RUNS = 2_000_000, 16
-
-    def __init__(self) -> None:
-        self.fresh: dict[bool, list[np.ndarray]] = {True: [], False: []}
-        self.size = 0
-        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, codes: np.ndarray, train: bool) -> None:
-        self.fresh[train].append(codes)
-        self.size += len(codes)
-        if self.size >= self.GATHER:
-            self._close()
-
-    def _close(self) -> None:
-        for train, parts in self.fresh.items():
-            if parts:
-                codes, n = np.unique(np.concatenate(parts), return_counts=True)
-                self.runs.append((codes, n if train else np.zeros(len(codes), np.int64)))
-                parts.clear()
-        self.size = 0
-        if len(self.runs) >= self.RUNS:
-            self._merge()
-
-    def _merge(self) -> None:
-        codes = np.unique(np.concatenate([c for c, _ in self.runs]))
-        total = np.zeros(len(codes), np.int64)
-        for part, n in self.runs:
-            total[np.searchsorted(codes, part)] += n
-        self.runs = [(codes, total)]
-
-    def finish(self) -> tuple[np.ndarray, np.ndarray]:
-        self._close()
-        self._merge()
-        return self.runs[0]
-
-
-def _squeeze(values: np.ndarray) -> bytes:
-    """An array as compressed bytes, all first bytes first."""
-    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes())
-
-
-def _spread(data: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
-def _put_grams(codes: np.ndarray) -> bytes:
-    return _squeeze(np.diff(codes, prepend=np.int64(0)))
-
-
-def _get_grams(data: bytes) -> np.ndarray:
-    return np.cumsum(_spread(data, np.int64))
-
-
 def _put_words(words: list[bytes]) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b" ".join(words))
 
@@ -246,33 +188,25 @@ def gram_tasks(codes: np.ndarray, tasks: int) -> np.ndarray:
         return (((codes >> 8 & 0xFFFF).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % tasks
 
 
-def _by_task(tasks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(tasks, kind="stable")
-    cuts = np.flatnonzero(np.diff(tasks[order])) + 1
-    for part in np.split(order, cuts):
-        if len(part):
-            yield int(tasks[part[0]]), part
-
-
 def _count(blocks: DataFrame, tasks: int) -> DataFrame:
     """(block, kind, task, keys, counts): each block's distinct grams and words, sorted within their task, and how often
     its training texts hold them."""
 
-    def rows(block: int, distinct: Distinct, known: Counter, others: set) -> Iterator[tuple]:
+    def rows(block: int, distinct: arrays.Distinct, known: Counter, others: set) -> Iterator[tuple]:
         codes, n = distinct.finish()
-        for task, part in _by_task(gram_tasks(codes, tasks)):
-            yield block, GRAMS, task, _put_grams(codes[part]), _squeeze(n[part].astype(np.int64))
+        for task, part in arrays.by_task(gram_tasks(codes, tasks)):
+            yield block, GRAMS, task, arrays.put_sorted(codes[part]), arrays.squeeze(n[part].astype(np.int64))
         words = sorted(others.union(known))
-        for task, part in _by_task(np.fromiter((crc32(w) % tasks for w in words), np.int64, len(words))):
+        for task, part in arrays.by_task(np.fromiter((crc32(w) % tasks for w in words), np.int64, len(words))):
             mine = [words[i] for i in part]
-            yield block, WORDS, task, _put_words(mine), _squeeze(np.fromiter((known[w] for w in mine), np.int64, len(mine)))
+            yield block, WORDS, task, _put_words(mine), arrays.squeeze(np.fromiter((known[w] for w in mine), np.int64, len(mine)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[Distinct, Counter, set]] = {}
+        held: dict[int, tuple[arrays.Distinct, Counter, set]] = {}
         for batch in batches:
             for block, train, text in zip(batch.column("block").to_pylist(), batch.column("train").to_pylist(), batch.column("text"), strict=True):
                 words = folded(text.as_py())
-                distinct, known, others = held.setdefault(block, (Distinct(), Counter(), set()))
+                distinct, known, others = held.setdefault(block, (arrays.Distinct(), Counter(), set()))
                 distinct.add(grams(words), train)
                 known.update(words) if train else others.update(words)
         while held:
@@ -286,19 +220,10 @@ def _count(blocks: DataFrame, tasks: int) -> DataFrame:
 _TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
 
 
-def _sum_grams(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    runs = [(_get_grams(k), _spread(c, np.int64)) for k, c in zip(rows["keys"], rows["counts"], strict=True)]
-    codes = np.unique(np.concatenate([k for k, _ in runs]))
-    total = np.zeros(len(codes), np.int64)
-    for part, n in runs:
-        total[np.searchsorted(codes, part)] += n
-    return codes, total
-
-
 def _sum_words(rows: pd.DataFrame) -> dict[bytes, int]:
     total: dict[bytes, int] = {}
     for k, c in zip(rows["keys"], rows["counts"], strict=True):
-        for w, n in zip(_get_words(k), _spread(c, np.int64).tolist(), strict=True):
+        for w, n in zip(_get_words(k), arrays.spread(c, np.int64).tolist(), strict=True):
             total[w] = total.get(w, 0) + n
     return total
 
@@ -308,11 +233,11 @@ def _summed(parts: DataFrame) -> DataFrame:
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         if rows["kind"].iloc[0] == GRAMS:
-            codes, n = _sum_grams(rows)
-            keys, counts = _put_grams(codes), _squeeze(n)
+            codes, n = arrays.sum_sorted(rows)
+            keys, counts = arrays.put_sorted(codes), arrays.squeeze(n)
         else:
             total = sorted(_sum_words(rows).items())
-            keys, counts = _put_words([w for w, _ in total]), _squeeze(np.array([n for _, n in total], np.int64))
+            keys, counts = _put_words([w for w, _ in total]), arrays.squeeze(np.array([n for _, n in total], np.int64))
         return pd.DataFrame({"kind": [rows["kind"].iloc[0]], "task": [rows["task"].iloc[0]], "keys": [keys], "counts": [counts]})
 
     schema = "kind int, task int, keys binary, counts binary"
@@ -323,7 +248,7 @@ def shallow_levels(totals: DataFrame) -> dict[str, np.ndarray]:
     """The two shallow levels of all trees."""
 
     def depth_two(rows: pd.DataFrame) -> pd.DataFrame:
-        codes, n = _sum_grams(rows)
+        codes, n = arrays.sum_sorted(rows)
         level = subtrees(codes.view(np.uint64), n.astype(float), 2)[-1]
         found = [(k & np.uint64(0xFFFF), a, b, w) for k, a, b, w in zip(level.keys, level.zeros, level.ones, level.weighted, strict=True)]
         return pd.DataFrame({c: np.concatenate([f[i] for f in found]).astype(t) for i, (c, t) in enumerate((("key", np.int64), ("zeros", float), ("ones", float), ("weighted", float)))})
@@ -335,25 +260,25 @@ def shallow_levels(totals: DataFrame) -> dict[str, np.ndarray]:
 
 
 def _returned(parts: DataFrame, totals: DataFrame, top: dict[str, np.ndarray], salts: int) -> DataFrame:
-    """(block, kind, task, vals): for each key of a part, in its order, the gram's log10 chance or the word's count."""
+    """(block, kind, keys, vals): for each key of a part, in its order, the gram's log10 chance or the word's count."""
     sent = parts.sparkSession.sparkContext.broadcast(top)
 
     def look(rows: pd.DataFrame, total: pd.DataFrame) -> pd.DataFrame:
         vals = []
         if rows["kind"].iloc[0] == GRAMS:
-            codes, n = _sum_grams(total)
+            codes, n = arrays.sum_sorted(total)
             chances = log10_chances(subtrees(codes.view(np.uint64), n.astype(float), 2), sent.value).astype(np.float32)
             for k in rows["keys"]:
-                vals.append(_squeeze(chances[np.searchsorted(codes, _get_grams(k))]))
+                vals.append(arrays.squeeze(chances[np.searchsorted(codes, arrays.get_sorted(k))]))
         else:
             counts = _sum_words(total)
             for k in rows["keys"]:
-                vals.append(_squeeze(np.array([counts[w] for w in _get_words(k)], np.int64)))
-        return pd.DataFrame({"block": rows["block"], "kind": rows["kind"], "task": rows["task"], "vals": vals})
+                vals.append(arrays.squeeze(np.array([counts[w] for w in _get_words(k)], np.int64)))
+        return pd.DataFrame({"block": rows["block"], "kind": rows["kind"], "keys": rows["keys"], "vals": vals})
 
     each = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     keys = ["kind", "task", "salt"]
-    return parts.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInPandas(look, "block long, kind int, task int, vals binary")
+    return parts.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInPandas(look, "block long, kind int, keys binary, vals binary")
 
 
 class Lookup:
@@ -404,36 +329,28 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     common.release(spark)
     totals = common.materialize(_summed(parts), "ctw-totals")
     n_train = rows.where("train").count()
-    known = F.udf(lambda c: [int((v := _spread(c, np.int64)).sum()), int((v > 0).sum())], "array<long>")(F.col("counts"))
+    known = F.udf(lambda c: [int((v := arrays.spread(c, np.int64)).sum()), int((v > 0).sum())], "array<long>")(F.col("counts"))
     known = totals.where(F.col("kind") == WORDS).select(known.alias("k")).agg(F.sum(F.col("k")[0]), F.sum(F.col("k")[1])).first()
     total, distinct = (known[0] or 0) + n_train, (known[1] or 0) + (n_train > 0)
     back = common.materialize(_returned(parts, totals, shallow_levels(totals), salts), "ctw-values")
     common.release(spark)
 
     def run(key, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        codes, vocabulary = Distinct(), set()
-        for text in texts["text"]:
-            words = folded(text)
-            codes.add(grams(words), False)
-            vocabulary.update(words)
-        vals = {(k, t): v for k, t, v in zip(found["kind"], found["task"], found["vals"], strict=True)}
-        codes = codes.finish()[0]
-        chances = np.empty(len(codes))
-        for task, part in _by_task(gram_tasks(codes, tasks)):
-            chances[part] = _spread(vals[GRAMS, task], np.float32)
-        lookup, seen = Lookup(codes, chances), {}
-        words = sorted(vocabulary)
-        for task, part in _by_task(np.fromiter((crc32(w) % tasks for w in words), np.int64, len(words))):
-            seen.update(zip((words[i] for i in part), _spread(vals[WORDS, task], np.int64).tolist(), strict=True))
+        mine = {kind: found[found["kind"] == kind] for kind in (GRAMS, WORDS)}
+        lookup = Lookup(*(np.concatenate([get(x) for x in mine[GRAMS][c]]) for c, get in (("keys", arrays.get_sorted), ("vals", lambda v: arrays.spread(v, np.float32)))))
+        place: dict[bytes, int] = {}
+        for k in mine[WORDS]["keys"]:
+            words = _get_words(k)
+            place.update(zip(words, range(len(place), len(place) + len(words)), strict=True))
+        counts = np.concatenate([np.zeros(0), *(arrays.spread(v, np.int64) for v in mine[WORDS]["vals"])])
         chance = lambda c: np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-        log = dict(zip(seen, chance(np.array(list(seen.values()), float)).tolist(), strict=True))
-        end = float(chance(n_train))
+        log, known, end = chance(counts), counts > 0, float(chance(n_train))
         out = []
         for doc_id, train, text in zip(texts["doc_id"], texts["train"], texts["text"], strict=True):
             words = folded(text)
-            base = sum(map(log.__getitem__, words)) + end
-            n_known = sum(c > 0 for c in map(seen.__getitem__, words)) + (n_train > 0)
-            out.append((doc_id, not train, len(words) + 1, n_known, total, base, float(lookup(grams(words)).sum())))
+            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+            n_known = int(np.count_nonzero(known[at])) + (n_train > 0)
+            out.append((doc_id, not train, len(words) + 1, n_known, total, float(log[at].sum()) + end, float(lookup(grams(words)).sum())))
         return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
