@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, ctw, exact_dedup, language_id, packing, pii, ring_shards, wu_manber
+from . import chat, ctw, exact_dedup, jaccard_join, language_id, packing, pii, ring_shards, wu_manber
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -12,10 +12,12 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.query,
     "op7_chat": chat.query,
     "op8_ring_shards": ring_shards.query,
+    "op9_jaccard_join": jaccard_join.query,
     "op10_language_id": language_id.query,
 }
 
 ORACLES = {
     "op4_wu_manber": wu_manber.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op9_jaccard_join": jaccard_join.ORACLE,
 }
