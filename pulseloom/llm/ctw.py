@@ -201,20 +201,26 @@ def _count(blocks: DataFrame, tasks: int) -> DataFrame:
             mine = [words[i] for i in part]
             yield block, WORDS, task, _put_words(mine), arrays.squeeze(np.fromiter((known[w] for w in mine), np.int64, len(mine)))
 
+    def made(*block) -> Iterator[pa.RecordBatch]:
+        for row in rows(*block):
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES, strict=True)], names=["block", "kind", "task", "keys", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[arrays.Distinct, Counter, set]] = {}
+        current, held = None, None
         for batch in batches:
             for block, train, text in zip(batch.column("block").to_pylist(), batch.column("train").to_pylist(), batch.column("text"), strict=True):
+                if block != current:
+                    if held:
+                        yield from made(current, *held)
+                    current, held = block, (arrays.Distinct(), Counter(), set())
                 words = folded(text.as_py())
-                distinct, known, others = held.setdefault(block, (arrays.Distinct(), Counter(), set()))
-                distinct.add(grams(words), train)
-                known.update(words) if train else others.update(words)
-        while held:
-            block, found = held.popitem()
-            for row in rows(block, *found):
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES, strict=True)], names=["block", "kind", "task", "keys", "counts"])
-
-    return blocks.mapInArrow(run, "block long, kind int, task int, keys binary, counts binary")
+                held[0].add(grams(words), train)
+                (held[1] if train else held[2]).update(words)
+        if held:
+            yield from made(current, *held)
+
+    # Sorted, so that a task holds one block at a time even where several fall to it.
+    return blocks.sortWithinPartitions("block").mapInArrow(run, "block long, kind int, task int, keys binary, counts binary")
 
 
 _TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())

@@ -121,18 +121,24 @@ def _frequencies(blocks: DataFrame, width: int, tasks: int, bits: int, salts: in
     shift = np.uint64(64 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, arrays.Distinct] = {}
+        current, held = None, None
         for batch in batches:
             for block, text in zip(batch.column("block").to_pylist(), batch.column("text"), strict=True):
-                held.setdefault(block, arrays.Distinct()).add((shingles(text.as_py(), width) >> shift).view(np.int64))
-        while held:
-            block, distinct = held.popitem()
-            codes, n = distinct.finish()
-            cuts = np.searchsorted(codes, _edges(tasks, bits))
-            for task, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(codes)], strict=True)):
-                if b > a:
-                    row = (block, task, arrays.put_sorted(codes[a:b]), arrays.squeeze(n[a:b]))
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "task", "keys", "counts"])
+                if block != current:
+                    if held:
+                        yield from made(current, held)
+                    current, held = block, arrays.Distinct()
+                held.add((shingles(text.as_py(), width) >> shift).view(np.int64))
+        if held:
+            yield from made(current, held)
+
+    def made(block: int, distinct: arrays.Distinct) -> Iterator[pa.RecordBatch]:
+        codes, n = distinct.finish()
+        cuts = np.searchsorted(codes, _edges(tasks, bits))
+        for task, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(codes)], strict=True)):
+            if b > a:
+                row = (block, task, arrays.put_sorted(codes[a:b]), arrays.squeeze(n[a:b]))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "task", "keys", "counts"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         codes, n = arrays.sum_sorted(rows)
@@ -144,7 +150,8 @@ def _frequencies(blocks: DataFrame, width: int, tasks: int, bits: int, salts: in
         vals = [arrays.squeeze(n[np.searchsorted(codes, arrays.get_sorted(k))]) for k in rows["keys"]]
         return pd.DataFrame({"block": rows["block"], "task": rows["task"], "vals": vals})
 
-    parts = common.materialize(blocks.mapInArrow(count, "block long, task int, keys binary, counts binary"), "join-parts")
+    # Sorted, so that a task holds one block at a time even where several fall to it.
+    parts = common.materialize(blocks.sortWithinPartitions("block").mapInArrow(count, "block long, task int, keys binary, counts binary"), "join-parts")
     common.release(blocks.sparkSession)
     parts = parts.withColumn("salt", (F.col("block") % salts).cast("int"))
     schema = "task int, keys binary, counts binary"
