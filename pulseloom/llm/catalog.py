@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, ctw, exact_dedup, jaccard_join, language_id, packing, pii, ring_shards, wu_manber
+import corpus_pipeline
+
+from . import chat, ctw, exact_dedup, jaccard_join, language_id, license_scan, packing, pii, ring_shards, wu_manber
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op2_license_scan": license_scan.query,
     "op3_ctw": ctw.query,
     "op4_wu_manber": wu_manber.query,
     "op5_pii": pii.query,
@@ -14,6 +17,7 @@ QUERIES = {
     "op8_ring_shards": ring_shards.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_language_id": language_id.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
