@@ -14,7 +14,11 @@ order for all documents alike. A prefix shingle that one document holds meets no
 Documents with equal sets are one node. Nodes that share prefix shingles are not paired with each other at once: in each
 posting list every node meets one hub first, best shared first, and verified links join them to components. Only lists
 that still hold several components go on, with other hubs, until what is left is paired whole, between components.
-No pair within a component is made, so a group of g near copies costs about g verifications. Verification intersects the
+No pair within a component is made, so a group of g near copies costs about g verifications. The first hub of a list is
+its most typical document, the one with the smallest share of shingles of its own. Those bound a pair: two sets cannot
+share what only one of them holds, so sizes and own shingles give a highest possible similarity, and what both share with
+a common hub lowers it further; copies that were edited apart are thus not paired although they share most of their
+original. Verification intersects the
 whole shingle sets, so every link stands and none between different components is missed.
 
 Defined cases: a null text, or one without words, has no shingles and is linked with nothing; with fewer words than a
@@ -41,8 +45,8 @@ from .components import connected
 BLOCK_BYTES, TASK_BYTES, SALT_BLOCKS = 16_000_000, 16_000_000, 64
 #: The longest multi-match, and what a verification costs against a posting, by shingles of the document.
 MOST_MATCHES, VERIFY = 4, 0.1
-#: Rounds of hubs at most, and pairs of a posting list's rows, against postings, at which the rest is paired whole.
-ROUNDS, PAIRS_FACTOR = 6, 4
+#: Rounds of hubs before the rest is paired whole.
+ROUNDS = 2
 
 
 def _splitmix(n: int) -> np.ndarray:
@@ -168,7 +172,7 @@ def _edges(tasks: int, bits: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, width: int, num: int, den: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n, key, matches, prefix) of every document."""
+    """(doc_id, n, own, key, matches, prefix) of every document; `own` counts the shingles that no other document holds."""
     common.arrow_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
@@ -192,12 +196,13 @@ def prefixes(docs: DataFrame, width: int, num: int, den: int, block_bytes: int =
         for s in sets:
             cut = (s >> shift).view(np.int64)
             matches, first = prefix(s, frequency[np.searchsorted(codes, cut)].astype(np.int64), num, den) if len(s) else (0, s)
-            out.append((len(s), identity(s), matches, first.view(np.int64)))
-        made = pd.DataFrame(out, columns=["n", "key", "matches", "prefix"])
+            own = int(np.count_nonzero(frequency[np.searchsorted(codes, cut)] == 1)) if len(s) else 0
+            out.append((len(s), own, identity(s), matches, first.view(np.int64)))
+        made = pd.DataFrame(out, columns=["n", "own", "key", "matches", "prefix"])
         made.insert(0, "doc_id", texts["doc_id"].to_numpy())
         return made.astype({"doc_id": "Int64"})
 
-    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(run, "doc_id long, n long, key binary, matches int, prefix array<long>")
+    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(run, "doc_id long, n long, own long, key binary, matches int, prefix array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, width: int) -> DataFrame:
@@ -216,17 +221,30 @@ def _sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, width: int) -> Data
 
 
 def _fits(a: str, b: str, num: int, den: int) -> Column:
-    """Whether sets of these sizes can be similar at all."""
-    return F.least(a, b) * den >= F.greatest(a, b) * num
+    """Whether two sets can be similar at all, by their sizes (n), their own shingles and what they share with a hub."""
+    n_a, n_b, own_a, own_b = (F.col(f"{c}{k}") for c in ("n", "own") for k in (a, b))
+    with_a, with_b = F.col(f"with_hub{a}"), F.col(f"with_hub{b}")
+    most = F.least(n_a - own_a, n_b - own_b)
+    # Inside the common hub and outside of it.
+    split = F.least(with_a, with_b) + F.least(n_a - with_a - own_a, n_b - with_b - own_b)
+    most = F.when(F.col(f"near{a}") == F.col(f"near{b}"), F.least(most, split)).otherwise(most)
+    return most * den >= (n_a + n_b - most) * num
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, linked) of candidate pairs (a, b), from their whole sets."""
+    """(a, b, shared, linked) of candidate pairs (a, b), from their whole sets."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), shared.alias("o")).select("a", "b", (F.col("o") * den >= (F.col("na") + F.col("nb") - F.col("o")) * num).alias("linked"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    return both.select("a", "b", "shared", (F.col("shared") * den >= (F.col("na") + F.col("nb") - F.col("shared")) * num).alias("linked"))
+
+
+def _open_lists(posted: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """The postings of lists that hold several components, with the list's hub."""
+    placed = posted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    order = F.struct((F.col("own") / F.col("n") if turn == 0 else F.lit(0.0)).alias("own_share"), F.xxhash64(F.lit(turn), "node").alias("h"))
+    lists = placed.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct(F.col("node").alias("hub"), F.col("label").alias("hub_label")), order).alias("first"))
+    return common.materialize(placed.join(lists.where("low <> high").select("shingle", "first.*"), "shingle"), "join-open")
 
 
 def components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -234,47 +252,46 @@ def components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
     found = common.materialize(prefixes(docs, width, num, den), "join-prefixes")
     common.release(spark)
-    classes = found.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
+    classes = found.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("own").alias("own"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
     classes = common.materialize(classes.withColumn("node", node(F.col("key"))), "join-classes")
-    posted = classes.select("node", "doc_id", "n", "matches", F.explode("prefix").alias("shingle"))
+    posted = classes.select("node", "doc_id", "n", "own", "matches", F.explode("prefix").alias("shingle"))
     shared = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle")
     posted = common.materialize(posted.join(shared, "shingle", "left_semi"), "join-posted")
-    n_posted = posted.count()
     wanted = common.materialize(posted.select("node", "doc_id").distinct(), "join-wanted")
+    posted = posted.drop("doc_id")
     sets = common.materialize(_sets(docs, wanted, wanted.count(), width), "join-sets")
     common.release(spark)
 
-    empty = spark.createDataFrame([], "a long, b long, linked boolean")
-    tested, labels = empty, spark.createDataFrame([], "node long, label long")
+    tested = spark.createDataFrame([], "a long, b long, shared int, linked boolean")
+    labels = spark.createDataFrame([], "node long, label long")
     for turn in range(ROUNDS + 1):
-        placed = posted.drop("doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        order = F.xxhash64(F.lit(turn), "node")
-        lists = placed.groupBy("shingle").agg(
-            F.count(F.lit(1)).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"),
-            F.min(F.struct(order.alias("h"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))).alias("first"),
-        ).where("low <> high")
-        open_ = common.materialize(placed.join(lists.select("shingle", "c", "first.hub", "first.hub_n", "first.hub_label"), "shingle"), "join-open")
-        lists_left = open_.groupBy("shingle").agg(F.first("c").alias("c")).agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0
-        if not lists_left:
+        open_ = _open_lists(posted, labels, turn)
+        if not open_.limit(1).count():
             break
-        whole = turn > 0 and (lists_left <= PAIRS_FACTOR * n_posted or turn == ROUNDS)
-        if whole:
-            one, two = ([F.col(c).alias(f"{c}{k}") for c in ("node", "n", "matches", "label")] for k in (1, 2))
-            pairs = open_.select("shingle", *one).join(open_.select("shingle", *two), "shingle")
-            pairs = pairs.where((F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & _fits("n1", "n2", num, den))
-            pairs = pairs.groupBy(F.col("node1").alias("a"), F.col("node2").alias("b")).agg(F.count(F.lit(1)).alias("s"), F.first(F.least("matches1", "matches2")).alias("k")).where("s >= k")
+        if turn < ROUNDS:
+            best = open_.where("label <> hub_label").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("s"))
+            best = common.materialize(best.groupBy("node").agg(F.max_by("hub", F.struct("s", "hub")).alias("hub")), "join-hubs")
+            pairs = best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         else:
-            pairs = open_.where((F.col("label") != F.col("hub_label")) & _fits("n", "hub_n", num, den))
-            pairs = pairs.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("s")).groupBy("node").agg(F.max_by("hub", F.struct("s", "hub")).alias("hub"))
-            pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+            # Each pair comes out of its first shared list only, and with enough shared shingles.
+            lists = posted.groupBy("node").agg(F.collect_list("shingle").alias("all"))
+            rest = common.materialize(open_.join(lists, "node"), "join-rest")
+            one, two = ([F.col(c).alias(f"{c}{k}") for c in ("node", "n", "own", "near", "with_hub", "matches", "label", "all")] for k in (1, 2))
+            one, two = rest.select("shingle", *one), rest.select(F.col("shingle").alias("shingle2"), *two)
+            both = F.array_intersect("all1", "all2")
+            on = (F.col("shingle") == F.col("shingle2")) & (F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & _fits("1", "2", num, den)
+            on = on & (F.array_min(both) == F.col("shingle")) & (F.size(both) >= F.least("matches1", "matches2"))
+            pairs = one.join(two, on).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
         pairs = pairs.select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
         new = common.materialize(_verified(pairs, sets, num, den), "join-verified")
         tested = tested.unionByName(new)
+        if turn == 0:  # each node with the hub it met; one that met none is its own
+            met = best.join(new, (F.least("node", "hub") == F.col("a")) & (F.greatest("node", "hub") == F.col("b"))).select("node", F.col("hub").alias("near"), F.col("shared").alias("with_hub"))
+            posted = posted.join(met, "node", "left").withColumn("with_hub", F.coalesce("with_hub", "n")).withColumn("near", F.coalesce("near", "node"))
+            posted = common.materialize(posted, "join-posted")
         if new.where("linked").limit(1).count():
             labels = connected(tested.where("linked").select("a", "b"))
         common.release(spark)
-        if whole:
-            break
 
     of = classes.select("key", "doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of = common.materialize(of.select("key", "doc_id", "label"), "join-labels")

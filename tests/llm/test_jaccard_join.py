@@ -87,8 +87,7 @@ def test_small_blocks_and_rounds_of_hubs(spark, monkeypatch):
     rows = corpus(3, 90)
     monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 500)
     monkeypatch.setattr(jaccard_join, "SALT_BLOCKS", 16)
-    monkeypatch.setattr(jaccard_join, "PAIRS_FACTOR", 0)
-    monkeypatch.setattr(jaccard_join, "ROUNDS", 3)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 4)
     docs = spark.createDataFrame([(i, t, None, "s", 0, 7) for i, t in rows], SCHEMA)
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.components(docs, 4, 85, 100).collect()]
     assert sorted(got, key=str) == brute(rows, 4, 85, 100)
