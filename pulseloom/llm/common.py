@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -49,11 +50,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     with contextlib.suppress(Exception):
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.pulseloom_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised result that no later step reads."""
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.pulseloom_path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release(spark: SparkSession) -> None:
-    """Let the cleaner drop the shuffle files of finished steps, which it does once the driver has collected its garbage."""
+    """Let the cleaner drop the shuffle files of finished steps, which it does once the driver, its Python objects first,
+    has collected its garbage."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

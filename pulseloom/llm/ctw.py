@@ -331,14 +331,17 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_blocks))
     blocks = rows.withColumn("block", block).repartition(n_blocks, "block")
 
-    parts = common.materialize(_count(blocks, tasks), "ctw-parts").withColumn("salt", (F.col("block") % salts).cast("int"))
+    counted = common.materialize(_count(blocks, tasks), "ctw-parts")
+    parts = counted.withColumn("salt", (F.col("block") % salts).cast("int"))
     common.release(spark)
     totals = common.materialize(_summed(parts), "ctw-totals")
     n_train = rows.where("train").count()
     known = F.udf(lambda c: [int((v := arrays.spread(c, np.int64)).sum()), int((v > 0).sum())], "array<long>")(F.col("counts"))
     known = totals.where(F.col("kind") == WORDS).select(known.alias("k")).agg(F.sum(F.col("k")[0]), F.sum(F.col("k")[1])).first()
     total, distinct = (known[0] or 0) + n_train, (known[1] or 0) + (n_train > 0)
+    common.release(spark)
     back = common.materialize(_returned(parts, totals, shallow_levels(totals), salts), "ctw-values")
+    common.discard(counted)
     common.release(spark)
 
     def run(key, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:

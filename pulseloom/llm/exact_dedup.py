@@ -65,9 +65,29 @@ def screen(digests: DataFrame, filters: DataFrame, n_shards: int) -> DataFrame:
     return _shards(digests, n_shards).groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(probe, "digest binary")
 
 
+#: A row's place among its equals as one number, so that hash aggregation finds the first: code points from many to few,
+#: then doc_id from small to large with null before all.
+_UNIT = "CAST('100000000000000000000' AS DECIMAL(21,0))"
+_LEAST = "CAST('9223372036854775809' AS DECIMAL(20,0))"
+
+
+def _place(chars: Column, doc_id: Column) -> Column:
+    number = F.coalesce(doc_id.cast("decimal(20,0)") + F.expr(_LEAST), F.lit(0).cast("decimal(21,0)"))
+    return ((F.lit(2**31) - chars).cast("decimal(12,0)") * F.expr(_UNIT) + number).cast("decimal(38,0)")
+
+
+def _place_chars(place: Column) -> Column:
+    return F.lit(2**31) - F.floor(place / F.expr(_UNIT)).cast("long")
+
+
+def _place_id(place: Column) -> Column:
+    number = place % F.expr(_UNIT)
+    return F.when(number > 0, (number - F.expr(_LEAST)).cast("long"))
+
+
 def _groups(rows: DataFrame) -> DataFrame:
-    """Per digest: how many rows, and the first by most code points, then smallest doc_id."""
-    return rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").alias("id"))).alias("best"))
+    """Per digest: how many rows, and the place of the first by most code points, then smallest doc_id."""
+    return rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(_place(F.col("chars"), F.col("doc_id"))).alias("best"))
 
 
 def _merge(rows: DataFrame, batches: int) -> DataFrame:
@@ -104,14 +124,14 @@ def exact_duplicates(docs: DataFrame, batches: int = BATCHES, digest=sha256) ->
     n_unequal = unequal.count()
 
     def result(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
-        kept = groups.select(*on, F.col("n").alias("group_size"), F.col("best.id").alias("keep_id"), F.col("best.c").alias("c"))
+        kept = groups.select(*on, F.col("n").alias("group_size"), _place_id(F.col("best")).alias("keep_id"), _place_chars(F.col("best")).alias("c"))
         kept = rows.join(kept, on)
-        return kept.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == -F.col("c"))).alias("kept"), "digest")
+        return kept.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("c"))).alias("kept"), "digest")
 
     if not n_unequal:
         return result(rows, groups, ["digest"])
     clash = base.join(common.small(unequal, n_unequal), "digest", "left_semi")
-    by_text = clash.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").alias("id"))).alias("best"))
+    by_text = clash.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"), F.min(_place(F.col("chars"), F.col("doc_id"))).alias("best"))
     rest = result(rows.join(unequal, "digest", "left_anti"), groups, ["digest"])
     return rest.unionByName(result(clash, by_text, ["digest", "norm"]))
 

@@ -61,3 +61,13 @@ def test_deduplicate_keeps_one_row_of_a_group(spark):
     stay = exact_dedup.deduplicate(docs.unionByName(docs))
     assert stay.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in stay.collect()) == [(1, "a "), (2, None), (4, "b")]
+
+
+def test_places_hold_all_ids(spark):
+    ids = [None, 0, 1, -1, 2**63 - 1, -(2**63), 10**18]
+    rows = spark.createDataFrame([(i, c) for i in ids for c in (0, 5, 2**31 - 1)], "doc_id long, chars int")
+    place = exact_dedup._place(F.col("chars"), F.col("doc_id"))
+    back = rows.select("doc_id", "chars", place.alias("p")).select("*", exact_dedup._place_id(F.col("p")).alias("i"), exact_dedup._place_chars(F.col("p")).alias("c"))
+    got = back.orderBy("p").collect()
+    assert all(r.i == r.doc_id and r.c == r.chars for r in got)
+    assert [(r.chars, r.doc_id) for r in got] == sorted(((r.chars, r.doc_id) for r in got), key=lambda x: (-x[0], x[1] is not None, x[1] or 0))
