@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sequences
+from . import intervals, sequences
 
-_ALL = {**sequences.QUERIES}
+_ALL = {**sequences.QUERIES, **intervals.QUERIES}
 
 QUERIES = {name: run for name, (run, _) in _ALL.items()}
 ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}
