@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats
-
 from ..operators import detect, joins, regions, sequence
 from ..sources.tables import beats, samples, table
 from .intervals import SAMPLES, N, P, _frame

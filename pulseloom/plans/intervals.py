@@ -172,7 +172,7 @@ QUERIES = {
     "closing_sym": (closing_sym, BEATS + _GRID + f", d AS (SELECT *, max(m) {_frame('2 ' + P, '2 ' + N)} AS d FROM m) SELECT record, i, m, min(d) {_frame('2 ' + P, '2 ' + N)} AS closed FROM d"),
     "causal_morphology": (causal_morphology, SAMPLES + f""", a AS (SELECT *, max(x) {_frame('4 ' + P, 'CURRENT ROW')} AS d, min(x) {_frame('CURRENT ROW', '4 ' + N)} AS e FROM samples),
 b AS (SELECT *, max(e) {_frame('4 ' + P, 'CURRENT ROW')} AS o, min(d) {_frame('CURRENT ROW', '4 ' + N)} AS c FROM a)
-SELECT record, i, round(o, 4) AS opened, round(c, 4) AS closed, round(x - o, 4) AS top_hat, round(c - x, 4) AS bottom_hat FROM b"""),
+SELECT record, i, round(o, 4) + 0.0 AS opened, round(c, 4) + 0.0 AS closed, round(x - o, 4) + 0.0 AS top_hat, round(c - x, 4) + 0.0 AS bottom_hat FROM b"""),
     "largest_region": (largest_region, BEATS + RUNS + ', r AS (SELECT *, row_number() OVER (PARTITION BY record ORDER BY start - "end", start) AS rn FROM runs) SELECT record, start, "end" FROM r WHERE rn = 1'),
     "session_merge": (session_merge, BEATS + """, g AS (SELECT *, CASE WHEN t - lag(t) OVER w - 3600 >= 18000 OR lag(t) OVER w IS NULL THEN 1 ELSE 0 END AS g FROM beats WINDOW w AS (PARTITION BY record ORDER BY i)),
 s AS (SELECT *, sum(g) OVER (PARTITION BY record ORDER BY i) AS s FROM g) SELECT record, round(min(t), 3) AS start, round(max(t) + 3600, 3) AS "end", count(*) AS parts FROM s GROUP BY record, s"""),

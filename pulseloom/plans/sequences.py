@@ -169,7 +169,7 @@ FROM beats WINDOW f AS (PARTITION BY record ORDER BY i ROWS BETWEEN 2 PRECEDING
 SELECT record, i, l[len(l) // 2 + 1] AS median FROM f"""),
     "rolling_stats": (rolling_stats, BEATS + """SELECT record, i, round(avg(value) OVER f, 4) AS roll_mean, round(sum(value) OVER f, 4) AS roll_sum, max(value) OVER f AS roll_max, round(max(value) OVER f - min(value) OVER f, 4) AS roll_range
 FROM beats WINDOW f AS (PARTITION BY record ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"""),
-    "derivative5": (derivative5, BEATS + f"SELECT record, i, round((-lag(value, 2) OVER w - 2 * lag(value) OVER w + 2 * lead(value) OVER w + lead(value, 2) OVER w) * 31.25, 4) AS d5 FROM beats {W}"),
+    "derivative5": (derivative5, BEATS + f"SELECT record, i, round((-lag(value, 2) OVER w - 2 * lag(value) OVER w + 2 * lead(value) OVER w + lead(value, 2) OVER w) * 31.25, 4) + 0.0 AS d5 FROM beats {W}"),
     "close_pairs": (close_pairs, BEATS + f"SELECT record, i, coalesce(t - lag(t) OVER w < 3600, false) OR coalesce(lead(t) OVER w - t < 3600, false) AS double FROM beats {W}"),
     "label_change_points": (label_change_points, BEATS + f""", c AS (SELECT *, coalesce((kind <> lag(kind) OVER w)::INT, 0) AS c FROM beats {W}),
 r AS (SELECT *, sum(c) OVER w AS run FROM c {W})
@@ -199,7 +199,7 @@ SELECT record, i, value FROM beats JOIN q USING (record) WHERE value BETWEEN a -
     "cosen": (cosen, BEATS + f""", x AS (SELECT record, i, rr_raw / 3600 AS x, lead(rr_raw / 3600) OVER w AS y FROM rr {W}),
 p AS (SELECT a.record, count(*) AS b, count(*) FILTER (abs(a.y - b.y) <= 2) AS a FROM x a JOIN x b ON a.record = b.record AND a.i < b.i AND abs(a.x - b.x) <= 2 WHERE a.y IS NOT NULL AND b.y IS NOT NULL GROUP BY a.record),
 m AS (SELECT record, avg(x) AS m FROM x GROUP BY record)
-SELECT record, a, b, round(CASE WHEN a > 0 THEN -ln(a / b) ELSE 0 END + ln(4.0) - ln(m), 4) AS cosen FROM p JOIN m USING (record)"""),
+SELECT record, a, b, round(CASE WHEN a > 0 THEN -ln(a / b) ELSE 0 END + ln(4.0) - ln(m), 4) + 0.0 AS cosen FROM p JOIN m USING (record)"""),
     "mode_of_kind": (mode_of_kind, BEATS + ", c AS (SELECT record, event_type, count(*) AS n FROM beats GROUP BY ALL) SELECT record, first(event_type ORDER BY n DESC, event_type) AS mode, max(n) AS n FROM c GROUP BY record"),
     "weighted_history": (weighted_history, BEATS + f", e AS (SELECT record, i, (lag(rr_raw, 3) OVER w + 2 * lag(rr_raw, 2) OVER w + 3 * lag(rr_raw) OVER w) / 6 AS e FROM rr {W}) SELECT record, i, round(e, 4) AS expected FROM e WHERE e IS NOT NULL"),
     "beat_string": (beat_string, BEATS + "SELECT record, string_agg(kind, '' ORDER BY i) AS beats FROM beats GROUP BY record"),
