@@ -218,6 +218,8 @@ def _count(blocks: DataFrame, tasks: int) -> DataFrame:
                 (held[1] if train else held[2]).update(words)
         if held:
             yield from made(current, *held)
+        held = None
+        common.trim()
 
     # Sorted, so that a task holds one block at a time even where several fall to it.
     return blocks.sortWithinPartitions("block").mapInArrow(run, "block long, kind int, task int, keys binary, counts binary")
@@ -360,6 +362,8 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
             n_known = int(np.count_nonzero(known[at])) + (n_train > 0)
             out.append((doc_id, not train, len(words) + 1, n_known, total, float(log[at].sum()) + end, float(lookup(grams(words)).sum())))
+        del lookup, place
+        common.trim()
         return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -135,6 +135,8 @@ def _frequencies(blocks: DataFrame, width: int, tasks: int, bits: int, salts: in
                 held.add((shingles(text.as_py(), width) >> shift).view(np.int64))
         if held:
             yield from made(current, held)
+        held = None
+        common.trim()
 
     def made(block: int, distinct: arrays.Distinct) -> Iterator[pa.RecordBatch]:
         codes, n = distinct.finish()
@@ -200,6 +202,8 @@ def prefixes(docs: DataFrame, width: int, num: int, den: int, block_bytes: int =
             out.append((len(s), own, identity(s), matches, first.view(np.int64)))
         made = pd.DataFrame(out, columns=["n", "own", "key", "matches", "prefix"])
         made.insert(0, "doc_id", texts["doc_id"].to_numpy())
+        del sets, distinct, codes, known, frequency, out
+        common.trim()
         return made.astype({"doc_id": "Int64"})
 
     return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(run, "doc_id long, n long, own long, key binary, matches int, prefix array<long>")
@@ -215,6 +219,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, width: int) -> Data
         for batch in batches:
             sets = [shingles(t.as_py(), width) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "shingles"])
+        common.trim()
 
     sets = rows.mapInArrow(run, "key binary, shingles array<long>").withColumn("node", node(F.col("key")))
     return sets.groupBy("node").agg(F.first("shingles").alias("shingles"))

@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: Pieces that a worker remembers; when there are more it starts anew, which costs time and changes nothing.
-MEMORY = 900_000
+MEMORY = 600_000
 
 #: The letters whose lower case and composition are one character each.
 _LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff\u0153"
