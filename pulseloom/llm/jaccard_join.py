@@ -165,7 +165,7 @@ def _frequencies(blocks: DataFrame, width: int, tasks: int, bits: int, salts: in
     if salts > 1:
         totals = totals.groupBy("task").applyInPandas(add, schema)
     totals = common.materialize(totals, "join-totals").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return parts.groupBy("task", "salt").cogroup(totals.groupBy("task", "salt")).applyInPandas(look, "block long, task int, vals binary")
+    return parts.drop("counts").groupBy("task", "salt").cogroup(totals.groupBy("task", "salt")).applyInPandas(look, "block long, task int, vals binary")
 
 
 def _edges(tasks: int, bits: int) -> np.ndarray:
