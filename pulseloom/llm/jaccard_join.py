@@ -173,10 +173,15 @@ def _edges(tasks: int, bits: int) -> np.ndarray:
     return np.array([(k << bits) // tasks for k in range(1, tasks)], np.int64)
 
 
+def _row_key() -> Column:
+    """Tells apart rows of one doc_id, or of none."""
+    return F.xxhash64(F.col("text").cast("binary"))
+
+
 def prefixes(docs: DataFrame, width: int, num: int, den: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n, own, key, matches, prefix) of every document; `own` counts the shingles that no other document holds."""
+    """(doc_id, row_key, n, own, key, matches, prefix) of every document; `own` counts the shingles that no other document holds."""
     common.arrow_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), _row_key().alias("row_key"))
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n_blocks, tasks = max(12, -(-size // block_bytes)), max(12, -(-size // TASK_BYTES))
     bits = min(62, max(24, (size // 6 * 64).bit_length()))
@@ -202,11 +207,12 @@ def prefixes(docs: DataFrame, width: int, num: int, den: int, block_bytes: int =
             out.append((len(s), own, identity(s), matches, first.view(np.int64)))
         made = pd.DataFrame(out, columns=["n", "own", "key", "matches", "prefix"])
         made.insert(0, "doc_id", texts["doc_id"].to_numpy())
+        made.insert(1, "row_key", texts["row_key"].to_numpy())
         del sets, distinct, codes, known, frequency, out
         common.trim()
         return made.astype({"doc_id": "Int64"})
 
-    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(run, "doc_id long, n long, own long, key binary, matches int, prefix array<long>")
+    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(run, "doc_id long, row_key long, n long, own long, key binary, matches int, prefix array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, width: int) -> DataFrame:
@@ -253,7 +259,7 @@ def _open_lists(posted: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
 
 
 def components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, component_id and key (the set's digest) of every document."""
+    """doc_id, n_shingles, component_id and row_key of every document."""
     spark = docs.sparkSession
     found = common.materialize(prefixes(docs, width, num, den), "join-prefixes")
     common.release(spark)
@@ -302,20 +308,24 @@ def components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     of = common.materialize(of.select("key", "doc_id", "label"), "join-labels")
     least = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of = of.select("key", "label").join(least, "label").select("key", "component_id")
-    out = found.select("doc_id", "n", "key").join(of, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "key")
+    out = found.select("doc_id", "row_key", "n", "key").join(of, "key", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key")
 
 
 def representatives(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of `docs` with the smallest doc_id of their component, and those linked with nothing, with all columns."""
-    out = common.materialize(components(docs, width, num, den).select("doc_id", "component_id"), "join-found")
-    drop = out.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(common.small(drop, drop.count()), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """The rows of `docs` with the smallest doc_id of their component, and those linked with nothing, with all columns.
+
+    Rows with one doc_id but different texts are judged each on its own; a component without any doc_id stays whole.
+    """
+    out = common.materialize(components(docs, width, num, den).select("doc_id", "component_id", "row_key"), "join-found")
+    drop = out.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_row")).distinct()
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (_row_key() == F.col("_row"))
+    return docs.join(common.small(drop, drop.count()), on, "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: every document's component under four-word shingles and similarity 0.85."""
-    return components(common.table(spark, sf_dir, "documents"), 4, 85, 100).drop("key")
+    return components(common.table(spark, sf_dir, "documents"), 4, 85, 100).drop("row_key")
 
 
 ORACLE = r"""

@@ -109,6 +109,12 @@ def test_representatives_keep_one_row_of_a_component(spark):
     assert sorted(r.doc_id for r in stay.collect()) == sorted(i for i, _, c in brute(rows, 5, 80, 100) if i == c)
 
 
+def test_representatives_tell_rows_apart(spark):
+    rows = [(5, "a b c d e f g"), (7, "A b c d e f g"), (7, "quite another text of seven words"), (None, "a b c d e f G"), (None, "and one more without an id"), (None, None)]
+    stay = jaccard_join.representatives(spark.createDataFrame([(i, t, None, "s", 0, 7) for i, t in rows], SCHEMA))
+    assert sorted(((r.doc_id, r.text) for r in stay.collect()), key=str) == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
+
+
 def test_connected_follows_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (400, 450)], "a long, b long")
     got = {r.node: r.label for r in components.connected(links).collect()}
