@@ -81,6 +81,11 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def chance(*key: Column | str) -> Column:
+    """A number from 0 to 1 that a hash of the key decides, for samples that every run and partitioning draws alike."""
+    return F.shiftrightunsigned(F.xxhash64(*key), 11) / float(1 << 53)
+
+
 def crc32_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 

@@ -53,17 +53,19 @@ def folded(text: str) -> bytes:
 
 def dictionaries(docs: DataFrame) -> dict[str, bytes]:
     """Raw dictionary content of each language that `docs` labels, the language with most rows first."""
+    labelled = {r["lang"]: r["count"] for r in docs.where("lang is not null").groupBy("lang").count().collect()}
+    if not labelled:
+        return {}
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(labelled.items()) for x in (lang, 2 * SAMPLE_ROWS / n)])
     order = Window.partitionBy("lang").orderBy("h", "doc_id", "t")
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")).select(
-        "lang", "doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("t"), F.xxhash64(F.lit("sample"), "doc_id").alias("h")
-    )
-    # The rank limit is applied in every task before rows are sent, so a language sends at most so many rows a task.
+    # Twice as many as are wanted are drawn by chance, so no task sends more than its part; then the first are taken.
+    drawn = docs.where(F.col("lang").isNotNull()).where(common.chance(F.lit("language"), "doc_id") < F.element_at(share, F.col("lang"))).where(F.col("text").rlike("\\p{L}"))
+    rows = drawn.select("lang", "doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("t"), F.xxhash64(F.lit("sample"), "doc_id").alias("h"))
     rows = rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= SAMPLE_ROWS)
     by: dict[str, list[tuple[int, str]]] = {}
     for r in rows.collect():
         by.setdefault(r["lang"], []).append((r["rn"], r["t"]))
-    rank = {r["lang"]: -r["count"] for r in docs.where("lang is not null").groupBy("lang").count().collect()}
-    return {lang: b" ".join(folded(t) for _, t in sorted(by[lang], reverse=True))[-DICTIONARY_BYTES:] for lang in sorted(by, key=lambda x: (rank[x], x))}
+    return {lang: b" ".join(folded(t) for _, t in sorted(by[lang], reverse=True))[-DICTIONARY_BYTES:] for lang in sorted(by, key=lambda x: (-labelled[x], x))}
 
 
 class Compressors:

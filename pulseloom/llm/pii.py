@@ -3,7 +3,7 @@
 Four base patterns (e-mail, IP address, card, phone) always count. High-recall generators propose further, overlapping
 spans: addresses written out with "at" and "dot", numbers in groups without a leading plus, cards with other separators.
 Gradient-boosted trees over format and context features score each candidate. They are trained on a bounded sample
-(`SAMPLE_ROWS` documents, the first `SAMPLE_CHARS` characters of each, chosen by a hash of the id): base spans and
+(some `SAMPLE_ROWS` documents, the first `SAMPLE_CHARS` characters of each, chosen by a hash of the id): base spans and
 rewritten forms of them in their own context are positives, what else the generators propose there is negative. A
 logistic calibration on a part kept back gives probabilities, and each kind gets the lowest threshold that reaches
 `PRECISION` there. Chosen spans that overlap neither a base span nor a better candidate are added. Prediction reads
@@ -16,6 +16,7 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -169,8 +170,28 @@ def rewritten(text: str, span: Span) -> Iterator[str]:
             yield mark.join(digits[i : i + 4] for i in range(0, len(digits), 4))
 
 
-def overlaps(s: Span, others: list[Span]) -> bool:
-    return any(s[0] < o[1] and o[0] < s[1] for o in others)
+class Covered:
+    """Spans as sorted disjoint ranges, so that an overlap is one search however many there are."""
+
+    def __init__(self, spans: list[Span] = ()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b, _ in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def __contains__(self, span: Span) -> bool:
+        k = bisect.bisect_right(self.ends, span[0])
+        return k < len(self.starts) and self.starts[k] < span[1]
+
+    def add(self, span: Span) -> None:
+        """Take in a span that overlaps none."""
+        k = bisect.bisect_right(self.ends, span[0])
+        self.starts.insert(k, span[0])
+        self.ends.insert(k, span[1])
 
 
 def examples(texts: list[str]) -> tuple[list[list[float]], list[int]]:
@@ -178,8 +199,9 @@ def examples(texts: list[str]) -> tuple[list[list[float]], list[int]]:
     rows, labels = [], []
     for text in texts:
         base = base_spans(text)
+        covered = Covered(base)
         for c in candidates(text):
-            if not overlaps(c, base):
+            if c not in covered:
                 rows.append(features(text, c))
                 labels.append(0)
         for s in base:
@@ -283,16 +305,19 @@ class Judge:
 
 
 def sample_texts(docs: DataFrame) -> list[str]:
-    rows = docs.select(F.xxhash64(F.lit("pii"), "doc_id").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t")).where("t is not null")
-    return [r["t"] for r in rows.orderBy("h", "t").limit(SAMPLE_ROWS).collect()]
+    """The sample, in an order by hash; a share of the rows is drawn, so no task sends more than its part."""
+    share = SAMPLE_ROWS / max(1, docs.count())
+    rows = docs.where(common.chance(F.lit("pii"), "doc_id") < share).where("text is not null").select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t"))
+    return [t for _, t in sorted((r["h"], r["t"]) for r in rows.limit(2 * SAMPLE_ROWS).collect())]
 
 
 def added(found: list[tuple[float, Span]], base: list[Span]) -> list[Span]:
     """The chosen candidates that overlap neither a base span nor one that scores better."""
-    out: list[Span] = []
+    out, covered = [], Covered(base)
     for _, span in sorted(found, key=lambda f: (-f[0], _order(f[1]))):
-        if not overlaps(span, base) and not overlaps(span, out):
+        if span not in covered:
             out.append(span)
+            covered.add(span)
     return out
 
 
@@ -313,8 +338,9 @@ def find(docs: DataFrame) -> DataFrame:
             for k, text in enumerate(batch.column("text")):
                 t = text.as_py() or ""
                 base.append(base_spans(t))
+                covered = Covered(base[k])
                 for c in candidates(t) if model else ():
-                    if not overlaps(c, base[k]):
+                    if c not in covered:
                         proposed.append((k, c))
                         rows.append(features(t, c))
             chosen: dict[int, list[tuple[float, Span]]] = {}

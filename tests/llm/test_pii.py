@@ -29,6 +29,18 @@ def test_base_spans_against_the_patterns(text):
     assert pii.base_spans(text) == brute(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 8)), max_size=12), st.tuples(st.integers(0, 45), st.integers(1, 8)))
+def test_overlaps_against_all_spans(spans, one):
+    spans, span = [(a, a + n, "ip") for a, n in spans], (one[0], one[0] + one[1], "ip")
+    covered = pii.Covered(spans)
+    overlap = any(span[0] < b and a < span[1] for a, b, _ in spans)
+    assert (span in covered) == overlap
+    if not overlap:
+        covered.add(span)
+        assert span in covered and covered.starts == sorted(covered.starts)
+
+
 def test_trees_learn_a_rule():
     x = np.random.default_rng(0).random((3000, 4))
     y = ((x[:, 0] > 0.5) & (x[:, 2] < 0.4)).astype(float)
