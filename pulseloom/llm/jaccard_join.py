@@ -42,7 +42,7 @@ from . import arrays, common
 from .components import connected
 
 #: Bytes of text in a block and for each task that sums frequencies; blocks whose arrays one task sums.
-BLOCK_BYTES, TASK_BYTES, SALT_BLOCKS = 16_000_000, 16_000_000, 64
+BLOCK_BYTES, TASK_BYTES, SALT_BLOCKS = 8_000_000, 16_000_000, 128
 #: The longest multi-match, and what a verification costs against a posting, by shingles of the document.
 MOST_MATCHES, VERIFY = 4, 0.1
 #: Rounds of hubs before the rest is paired whole.
