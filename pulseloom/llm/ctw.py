@@ -35,7 +35,7 @@ from . import arrays, common
 #: Bytes of context; a gram is the context and the byte that follows, in one 64-bit integer.
 DEPTH = 6
 #: Bytes of text in a block.
-BLOCK_BYTES = 20_000_000
+BLOCK_BYTES = 18_000_000
 #: The end of a text, a byte that no word has; it is coded like any other.
 END = 10
 #: Bytes of text for each task that sums and weights grams, and blocks whose arrays one task sums.
