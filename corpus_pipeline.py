@@ -32,9 +32,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return wu_manber.clean_documents(docs, common.table(spark, sf_dir, "benchmark"))
 
 
+#: Vocabulary pieces that a worker remembers here, where its memory has served other stages before.
+REMEMBERED = 500_000
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token pieces of the documents that are left, in sequences of at most 2048 tokens."""
-    return packing.pack(docs)
+    return packing.pack(docs, memory=REMEMBERED)
 
 
 STAGES = [

@@ -28,13 +28,13 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 
 
-def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, memory: int = tokens.MEMORY) -> DataFrame:
     """The token pieces of each document: start, length, checksum of the ids, tokens of the document."""
     common.arrow_batches(docs.sparkSession)
     end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(vocabulary).encode_all
+        encode = tokens.encoder(vocabulary, memory).encode_all
         for batch in batches:
             out: list[list[int | None]] = [[], [], [], [], []]
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -103,10 +103,10 @@ def segments(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
-    """Every piece of every document with its sequence and its offset there."""
+def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, memory: int = tokens.MEMORY) -> DataFrame:
+    """Every piece of every document with its sequence and its offset there; workers remember `memory` vocabulary pieces."""
     spark = docs.sparkSession
-    cut = common.materialize(pieces(docs, vocabulary, capacity), "packing-pieces")
+    cut = common.materialize(pieces(docs, vocabulary, capacity, memory), "packing-pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = segments(patterns(counts, capacity))
     table = F.broadcast(spark.createDataFrame(plan, "_length long, _first long, _end long, _uses long, _sequence long, _offset long"))

@@ -13,8 +13,9 @@ import re
 
 import numpy as np
 
-#: Pieces that a worker remembers; when there are more it starts anew, which costs time and changes nothing.
-MEMORY = 600_000
+#: Pieces that a worker remembers, some 250 bytes each; when there are more it starts anew, which costs time and changes
+#: nothing.
+MEMORY = 900_000
 #: Texts that are cut and looked up at a time, so that their pieces stay in the processor's cache.
 GROUP = 50
 
@@ -29,8 +30,9 @@ _encoders: dict[str, ChunkEncoder] = {}
 
 
 class ChunkEncoder:
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, memory: int = MEMORY):
         self.tokenizer = tokenizer
+        self.memory = memory
         self.known: dict[str, bytes] = {}
 
     def _batch(self, chunks: list[str]) -> list[bytes]:
@@ -61,7 +63,7 @@ class ChunkEncoder:
     def _encode_group(self, texts: list[str]) -> list[bytes]:
         pieces = [self._pieces(t) for t in texts]
         here = set().union(*[p for p in pieces if p])
-        if len(self.known) + len(here) > MEMORY:
+        if len(self.known) + len(here) > self.memory:
             self.known.clear()
         new = here.difference(self.known)
         if new:
@@ -77,8 +79,8 @@ class ChunkEncoder:
         return self.encode_all([text])[0]
 
 
-def encoder(name: str) -> ChunkEncoder:
-    """The worker's encoder of a vocabulary: a file name of the public tokenizers, or a path."""
+def encoder(name: str, memory: int = MEMORY) -> ChunkEncoder:
+    """The worker's encoder of a vocabulary, a file name of the public tokenizers or a path, with so much memory."""
     if name not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -89,4 +91,5 @@ def encoder(name: str) -> ChunkEncoder:
 
             path = public_tokenizers.path(name)
         _encoders[name] = ChunkEncoder(Tokenizer.from_file(str(path)))
+    _encoders[name].memory = memory
     return _encoders[name]
