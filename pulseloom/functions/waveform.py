@@ -151,3 +151,32 @@ def dtw_distance(x: np.ndarray, y: np.ndarray, band: int = 20) -> float:
         for j in range(max(1, i - band), min(m, i + band) + 1):
             cost[i, j] = abs(x[i - 1] - y[j - 1]) + min(cost[i - 1, j], cost[i, j - 1], cost[i - 1, j - 1])
     return float(cost[n, m])
+
+
+def dtw_distances(x: np.ndarray, y: np.ndarray, band: int = 20) -> np.ndarray:
+    """`dtw_distance` of each row of x to that row of y: one step for an antidiagonal of all pairs, the same sums."""
+    (pairs, n), m = x.shape, y.shape[1]
+    if not n or not m:
+        return np.full(pairs, 0.0 if n == m else np.inf)
+    back = y[:, ::-1]
+    before, last, now = (np.full((pairs, n + 1), np.inf) for _ in range(3))
+    before[:, 0] = 0
+    for d in range(2, n + m + 1):
+        low, high = max(1, d - m, -((band - d) // 2)), min(n, d - 1, (d + band) // 2)
+        now.fill(np.inf)
+        if low <= high:
+            least = np.minimum(np.minimum(last[:, low - 1 : high], last[:, low : high + 1]), before[:, low - 1 : high])
+            now[:, low : high + 1] = np.abs(x[:, low - 1 : high] - back[:, m - d + low : m - d + high + 1]) + least
+        before, last, now = last, now, before
+    return last[:, n]
+
+
+def dtw_of_pairs(xs: list[np.ndarray], ys: list[np.ndarray], band: int = 20) -> np.ndarray:
+    """`dtw_distance` of each pair, pairs of equal lengths together and so many at a time that memory stays bounded."""
+    out, alike = np.empty(len(xs)), {}
+    for k, (x, y) in enumerate(zip(xs, ys, strict=True)):
+        alike.setdefault((len(x), len(y)), []).append(k)
+    for ks in alike.values():
+        for some in (ks[k : k + 512] for k in range(0, len(ks), 512)):
+            out[some] = dtw_distances(np.stack([xs[k] for k in some]), np.stack([ys[k] for k in some]), band)
+    return out

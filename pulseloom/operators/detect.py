@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..functions.waveform import butterworth, dtw_distance, run_sections
+from ..functions.waveform import butterworth, dtw_of_pairs, run_sections
 
 
 def adaptive_peaks(x: np.ndarray, fs: float, low: float = 8.0, high: float = 25.0) -> list[int]:
@@ -50,37 +50,59 @@ def polarity(x: np.ndarray) -> str:
     return "positive" if high > -2 * low else "negative" if -low > 2 * high else "biphasic"
 
 
-def leaders(rows: list[np.ndarray], least: float = 0.3, recent: int = 15, rate: float = 0.125) -> list[int]:
-    """Online leader clustering: the most similar cluster used lately, else an older one, else a new one; templates follow."""
-    templates: list[np.ndarray] = []
-    used: list[int] = []
-    out = []
-    for k, x in enumerate(rows):
-        scores = [1 / (1 + dtw_distance(x, t) / len(x) / (np.std(x) + 1e-9)) for t in templates]
-        for pool in ([c for c in range(len(templates)) if k - used[c] <= recent], range(len(templates))):
-            best = max(pool, key=lambda c: scores[c], default=None)
-            if best is not None and scores[best] > least:
-                break
-            best = None
+class Leaders:
+    """Online leader clustering: the most similar cluster used lately, else an older one, else a new one; templates follow.
+
+    Its state is a template and a place of last use for each cluster, whatever the number of rows."""
+
+    def __init__(self, least: float = 0.3, recent: int = 15, rate: float = 0.125):
+        self.least, self.recent, self.rate, self.seen = least, recent, rate, 0
+        self.templates: list[np.ndarray] = []
+        self.used: list[int] = []
+
+    def add(self, x: np.ndarray) -> int:
+        lately = [self.seen - u <= self.recent for u in self.used]
+        best = None
+        for pool in ([c for c, now in enumerate(lately) if now], [c for c, now in enumerate(lately) if not now]):
+            if pool:
+                scores = 1 / (1 + dtw_of_pairs([x] * len(pool), [self.templates[c] for c in pool]) / len(x) / (np.std(x) + 1e-9))
+                k = int(scores.argmax())
+                if scores[k] > self.least:
+                    best = pool[k]
+                    break
         if best is None:
-            templates.append(x.copy())
-            used.append(k)
-            best = len(templates) - 1
+            best = len(self.templates)
+            self.templates.append(x.copy())
+            self.used.append(self.seen)
         else:
-            templates[best] += rate * (x - templates[best])
-            used[best] = k
-        out.append(best)
-    return out
+            self.templates[best] += self.rate * (x - self.templates[best])
+            self.used[best] = self.seen
+        self.seen += 1
+        return best
 
 
-def cluster_members(waves: DataFrame, group: str) -> DataFrame:
-    """(group, record, cluster): leader clustering of each group's waveforms in order of record."""
+def leaders(rows: list[np.ndarray], least: float = 0.3, recent: int = 15, rate: float = 0.125) -> list[int]:
+    """The clusters of rows in order."""
+    fold = Leaders(least, recent, rate)
+    return [fold.add(x) for x in rows]
+
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("record")
-        return pd.DataFrame({group: frame[group], "record": frame["record"], "cluster": leaders([np.asarray(x, float) for x in frame["x"]])})
+def cluster_members(waves: DataFrame, group: str) -> DataFrame:
+    """(group, record, cluster): leader clustering of all waveforms of each group in order of record, read as they come."""
 
-    return waves.select(group, "record", "x").groupBy(group).applyInPandas(run, f"{group} long, record long, cluster int")
+    def run(frames):
+        key, fold = None, None
+        for frame in frames:
+            out = []
+            for g, x in zip(frame[group], frame["x"], strict=True):
+                g = None if pd.isna(g) else g
+                if fold is None or g != key:
+                    key, fold = g, Leaders()
+                out.append(fold.add(np.asarray(x, float)))
+            yield pd.DataFrame({group: frame[group], "record": frame["record"], "cluster": out})
+
+    rows = waves.select(group, "record", "x").repartition(group).sortWithinPartitions(group, "record", "x")
+    return rows.mapInPandas(run, f"{group} long, record long, cluster int")
 
 
 def complete_linkage(distance: np.ndarray, limit: float = 0.3) -> list[int]:

@@ -67,7 +67,7 @@ def adaptive_detector(spark, sf):
 
 def leader_clusters(spark, sf):
     """No SQL twin: an ordered fold with waveforms as state."""
-    return detect.cluster_members(_waves(spark, sf).where("record < 200"), "label")
+    return detect.cluster_members(_waves(spark, sf), "label")
 
 
 def _events(spark, sf):
