@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import stats
-from ..operators import detect, joins, regions, sequence
+from ..functions import stats, waveform
+from ..operators import joins, regions, sequence
 from ..sources.tables import beats, samples, table
 from .intervals import SAMPLES, N, P, _frame
 from .measures import _waves
@@ -162,15 +162,15 @@ def poincare(spark, sf):
 
 
 def warped_distance(spark, sf):
-    """Dynamic time warping to the next waveform, in Arrow batches; no SQL twin."""
+    """Dynamic time warping of every waveform to that of the next id, in Arrow batches; no SQL twin."""
     rows = _waves(spark, sf)
     near = rows.select((F.col("record") - 1).alias("record"), F.col("x").alias("y"))
 
     @F.pandas_udf("double")
     def distance(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([detect.dtw_distance(np.asarray(a), np.asarray(b), 8) for a, b in zip(x, y, strict=True)])
+        return pd.Series(waveform.dtw_of_pairs([np.asarray(v, float) for v in x], [np.asarray(v, float) for v in y]))
 
-    return rounded(rows.where("record < 100").join(near, "record").select("record", distance("x", "y").alias("d")), "d")
+    return rounded(rows.join(near, "record").select("record", distance("x", "y").alias("d")), "d")
 
 
 def entropy_bits(spark, sf):

@@ -67,3 +67,12 @@ def test_warping_of_many_pairs_at_once(n, m, band):
     rng = np.random.default_rng(n + m)
     x, y = rng.normal(size=(3, n)), rng.normal(size=(3, m))
     assert waveform.dtw_distances(x, y, band).tolist() == [warp(a, b, band) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+
+
+def test_warped_distance_of_every_waveform(spark, tmp_path):
+    rows = waves(130, 40, 2) + [(k, [0.5] * 9 + [float(k % 3)] * 3, 0) for k in (130, 131)]
+    sf = tables(spark, tmp_path, embeddings=(WAVES, rows))
+    wide = [np.float32(r[1]).astype(float).tolist() for r in rows]
+    got = {r.record: r.d for r in catalog.QUERIES["warped_distance"](spark, sf).collect()}
+    assert sorted(got) == list(range(131))
+    assert got == pytest.approx({k: warp(wide[k], wide[k + 1]) for k in range(131)}, abs=1e-4)
