@@ -108,7 +108,7 @@ def _merge(rows: DataFrame, batches: int) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, batches: int = BATCHES, digest=sha256) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and the digest of each row of `docs` (doc_id, text)."""
+    """doc_id, keep_id, group_size, kept, the digest and the code points of each row of `docs` (doc_id, text)."""
     base = docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("chars"), normalised(F.col("text")).alias("norm"))
     base = base.withColumn("digest", digest(F.col("norm")))
     rows = base.select("doc_id", "chars", "digest", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(batches)).alias("batch"))
@@ -126,7 +126,7 @@ def exact_duplicates(docs: DataFrame, batches: int = BATCHES, digest=sha256) ->
     def result(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
         kept = groups.select(*on, F.col("n").alias("group_size"), _place_id(F.col("best")).alias("keep_id"), _place_chars(F.col("best")).alias("c"))
         kept = rows.join(kept, on)
-        return kept.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("c"))).alias("kept"), "digest")
+        return kept.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("c"))).alias("kept"), "digest", "chars")
 
     if not n_unequal:
         return result(rows, groups, ["digest"])
@@ -138,13 +138,14 @@ def exact_duplicates(docs: DataFrame, batches: int = BATCHES, digest=sha256) ->
 
 def deduplicate(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """The rows of `docs` that stay, one of each group, with all their columns."""
-    found = common.materialize(exact_duplicates(docs, batches).select("doc_id", "digest", "kept"), "dedup-found")
-    drop = found.where("not kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    found = common.materialize(exact_duplicates(docs, batches).select("doc_id", "digest", "chars", "kept"), "dedup-found")
+    # With the code points, as rows of one doc_id or of none may be variants of one text: only what is not kept goes.
+    drop = found.where("not kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("chars").alias("_chars")).distinct()
     keyed = docs.withColumn("_norm_digest", sha256(normalised(F.col("text"))))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_norm_digest") == F.col("_digest"))
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_norm_digest") == F.col("_digest")) & (F.char_length(F.coalesce("text", F.lit(""))) == F.col("_chars"))
     stay = keyed.join(common.small(drop, drop.count()), on, "left_anti")
     one = found.agg(F.sum(F.col("kept").cast("long")).alias("k"), F.count_distinct("digest").alias("d")).first()
-    if one["k"] and one["k"] > one["d"]:  # the same row several times over
+    if one["k"] and one["k"] > one["d"]:  # the same row several times over, or variants of one length under one doc_id
         stay = stay.dropDuplicates(["_norm_digest"])
     return stay.drop("_norm_digest")
 

@@ -63,6 +63,13 @@ def test_deduplicate_keeps_one_row_of_a_group(spark):
     assert sorted((r.doc_id, r.text) for r in stay.collect()) == [(1, "a "), (2, None), (4, "b")]
 
 
+def test_deduplicate_keeps_a_variant_under_one_id_and_under_none(spark):
+    rows = [(None, "a b"), (None, "ab"), (5, "c  d"), (5, "cd"), (5, "c d"), (6, "cd"), (7, "e f"), (7, " ef"), (8, "g")] + [(None, "hot " + " " * (k % 3) + "text") for k in range(30)]
+    docs = spark.createDataFrame([(i, t, None, "s", 0, "clash", 9) for i, t in rows], SCHEMA)
+    stay = sorted((r.text.replace(" ", ""), len(r.text), r.doc_id) for r in exact_dedup.deduplicate(docs).collect())
+    assert stay == [("ab", 3, None), ("cd", 4, 5), ("ef", 3, 7), ("g", 1, 8), ("hottext", 10, None)]
+
+
 def test_places_hold_all_ids(spark):
     ids = [None, 0, 1, -1, 2**63 - 1, -(2**63), 10**18]
     rows = spark.createDataFrame([(i, c) for i in ids for c in (0, 5, 2**31 - 1)], "doc_id long, chars int")
