@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -103,6 +105,35 @@ def local_maxima(rows: DataFrame, value: str, height: float) -> DataFrame:
     return rows.withColumn("_peak", peak).where("_peak").drop("_peak")
 
 
+def prominences(values: np.ndarray) -> np.ndarray:
+    """Height of each sample over the higher of the lowest ones on either side, each side up to the first higher sample or the end."""
+
+    def lowest(v):
+        out, stack = np.empty(len(v)), []  # (value, lowest up to it) of samples that none since has reached
+        for k, x in enumerate(v):
+            low = x
+            while stack and stack[-1][0] <= x:
+                low = min(low, stack.pop()[1])
+            stack.append((x, low))
+            out[k] = low
+        return out
+
+    return values - np.maximum(lowest(values), lowest(values[::-1])[::-1])
+
+
+def peak_prominence(rows: DataFrame, value: str, height: float) -> DataFrame:
+    """(record, i, prominence) of the strict local maxima above a height, over whole records in order of i."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("i")
+        v = frame[value].to_numpy(float)
+        peak = np.zeros(len(v), bool)
+        peak[1:-1] = (v[1:-1] > v[:-2]) & (v[1:-1] > v[2:]) & (v[1:-1] > height)
+        return pd.DataFrame({"record": frame["record"], "i": frame["i"], "prominence": prominences(v)})[peak]
+
+    return rows.select("record", "i", value).groupBy("record").applyInPandas(run, "record long, i long, prominence double")
+
+
 def page_hinkley(rows: DataFrame, value: str, delta: float, limit: float) -> DataFrame:
     """The first index at which the cumulated rise over the running mean, less `delta`, leaves its minimum by `limit`."""
     mean = F.avg(value).over(ordered().rowsBetween(Window.unboundedPreceding, 0))

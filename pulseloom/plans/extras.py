@@ -82,6 +82,11 @@ def prominence(spark, sf):
     return rounded(peaks.select("record", "i", (F.col("value") - F.greatest("left", "right")).alias("prominence")), "prominence")
 
 
+def prominence_whole(spark, sf):
+    """Height of each local maximum over the higher of the lowest points around it, up to a higher one or the record's end."""
+    return rounded(sequence.peak_prominence(beats(spark, sf), "value", 100.0), "prominence")
+
+
 def chunk_mean(spark, sf):
     return beats(spark, sf).groupBy("record", F.floor(F.col("i") / 8).alias("chunk")).agg((F.avg((F.col("kind") == "V").cast("double")) > 0.5).alias("odd"))
 
@@ -205,6 +210,9 @@ c AS (SELECT *, list_sort(list(m) {_frame('7 ' + P, '7 ' + N)}) AS l FROM b) SEL
     "one_hot": (one_hot, "SELECT vec_id, array_to_string([(k = label)::INT FOR k IN range(10)], '') AS code FROM embeddings"),
     "min_max_scaled": (min_max_scaled, SAMPLES + "SELECT record, i, round((x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w), 4) + 0.0 AS y FROM samples WINDOW w AS (PARTITION BY record)"),
     "prominence": (prominence, BEATS + f", m AS (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b, min(value) {_frame('10 ' + P, 'CURRENT ROW')} AS l, min(value) {_frame('CURRENT ROW', '10 ' + N)} AS r FROM beats WINDOW w AS (PARTITION BY record ORDER BY i)) SELECT record, i, round(value - greatest(l, r), 4) AS prominence FROM m WHERE value > a AND value > b AND value > 100"),
+    "prominence_whole": (prominence_whole, BEATS + """, m AS (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM beats WINDOW w AS (PARTITION BY record ORDER BY i)), p AS (SELECT record, i, value FROM m WHERE value > a AND value > b AND value > 100),
+h AS (SELECT p.record, p.i, p.value, coalesce(max(o.i) FILTER (o.i < p.i AND o.value > p.value), -1) AS l, min(o.i) FILTER (o.i > p.i AND o.value > p.value) AS r FROM p JOIN beats o USING (record) GROUP BY ALL)
+SELECT h.record, h.i, round(h.value - greatest(min(o.value) FILTER (o.i BETWEEN l + 1 AND h.i), min(o.value) FILTER (o.i >= h.i AND (r IS NULL OR o.i < r))), 4) AS prominence FROM h JOIN beats o ON o.record = h.record GROUP BY h.record, h.i, h.value"""),
     "chunk_mean": (chunk_mean, BEATS + "SELECT record, i // 8 AS chunk, avg((kind = 'V')::INT) > 0.5 AS odd FROM beats GROUP BY 1, 2"),
     "trimmed": (trimmed, BEATS + ", n AS (SELECT *, count(*) OVER (PARTITION BY record) AS n FROM beats) SELECT record, i FROM n WHERE i >= 5 AND i < n - 5"),
     "guards": (guards, SAMPLES + "SELECT record, count(*) FILTER (x IS NULL OR isnan(x)) AS missing, max(abs(x)) = 0 AS flat FROM samples GROUP BY record"),

@@ -76,3 +76,20 @@ def test_warped_distance_of_every_waveform(spark, tmp_path):
     got = {r.record: r.d for r in catalog.QUERIES["warped_distance"](spark, sf).collect()}
     assert sorted(got) == list(range(131))
     assert got == pytest.approx({k: warp(wide[k], wide[k + 1]) for k in range(131)}, abs=1e-4)
+
+
+def test_prominence_reaches_past_ten_beats_and_stops_at_a_higher_one(spark):
+    from pulseloom.operators import sequence
+
+    rng = random.Random(3)
+    records = {k: [float(rng.randrange(80, 130)) for _ in range(n)] for k, n in ((1, 300), (2, 40), (3, 1), (4, 2))}
+    records[5] = [0.0] + [90.0] * 14 + [120.0] + [95.0] * 14 + [10.0, 130.0, 5.0]
+    rows = spark.createDataFrame([(k, i, v) for k, vs in records.items() for i, v in enumerate(vs)], "record long, i long, v double")
+    want = {}
+    for k, vs in records.items():
+        for i in range(1, len(vs) - 1):
+            if vs[i] > max(vs[i - 1], vs[i + 1], 100):
+                sides = [next((s[: n + 1] for n in range(len(s)) if n + 1 == len(s) or s[n + 1] > vs[i]), s) for s in (vs[i::-1], vs[i:])]
+                want[k, i] = vs[i] - max(map(min, sides))
+    got = {(r.record, r.i): r.prominence for r in sequence.peak_prominence(rows, "v", 100.0).collect()}
+    assert got == want and want[5, 15] == 110.0
