@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,3 +81,32 @@ def window_match(truth: DataFrame, found: DataFrame, width: float, tolerance: fl
     n, m = (df.groupBy("record", "win").agg(F.count(F.lit(1)).alias(c)) for df, c in ((a, "n"), (b, "m")))
     out = n.join(m, ["record", "win"], "full").join(hit, ["record", "win"], "left").join(got, ["record", "win"], "left").na.fill(0)
     return out.select("record", "win", "tp", (F.col("n") - F.col("tp")).alias("fn"), (F.col("m") - F.col("got")).alias("fp"))
+
+
+#: Waveforms of a group in a block; all pairs of two blocks are made in one call.
+BLOCK = 400
+
+
+def all_pairs_rmse(waves: DataFrame, group: str, block: int = BLOCK) -> DataFrame:
+    """(record, record2, rmse) of all pairs record < record2 within a group; waveforms are of one length.
+
+    The waveforms of a group are dealt into blocks by a hash, and each pair of blocks is one group of rows."""
+    most = waves.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    blocks = -(-most // block)
+    dealt = waves.select(group, "record", "x", F.pmod(F.xxhash64("record"), F.lit(blocks)).alias("own"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+    dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        x, ids = np.stack([np.asarray(v, float) for v in frame["x"]]), frame["record"].to_numpy()
+        left = np.flatnonzero(frame["own"] == key[1])
+        right = np.flatnonzero(frame["own"] == key[2])
+        parts = []
+        for a in left:
+            b = right[ids[right] > ids[a]] if key[1] == key[2] else right[ids[right] != ids[a]]
+            d = np.sqrt(((x[b] - x[a]) ** 2).mean(axis=1))
+            parts.append((np.minimum(ids[b], ids[a]), np.maximum(ids[b], ids[a]), d))
+        made = [np.concatenate([p[k] for p in parts]) if parts else [] for k in range(3)]
+        return pd.DataFrame({"record": made[0], "record2": made[1], "rmse": made[2]})
+
+    return dealt.groupBy(group, "low", "high").applyInPandas(run, "record long, record2 long, rmse double")

@@ -156,6 +156,12 @@ def pairwise_rmse(spark, sf):
     return rounded(pairs.select("vec_id", "v2", rmse(F.col("x"), F.col("y")).alias("rmse")), "rmse")
 
 
+def pairwise_rmse_all(spark, sf):
+    """All pairs of waveforms within a label; `pairwise_rmse` has those of neighbouring ids only."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("record"), "label", F.col("embedding").cast("array<double>").alias("x"))
+    return rounded(joins.all_pairs_rmse(rows, "label").withColumnsRenamed({"record": "vec_id", "record2": "v2"}), "rmse")
+
+
 def _frame(a, b):
     return FRAME.format(a, b)
 
@@ -199,4 +205,5 @@ SELECT record FROM s a WHERE NOT EXISTS (FROM s b WHERE b.record <> a.record AND
     "not_in_anti": (not_in_anti, "SELECT c_custkey FROM customer WHERE NOT EXISTS (FROM orders WHERE o_custkey = c_custkey)"),
     "pair_exclusion": (pair_exclusion, _KINDS + "SELECT record, count(*) AS n FROM a WHERE NOT EXISTS (FROM b WHERE a.record = b.record AND abs(a.t - b.t) < 14400) GROUP BY record"),
     "pairwise_rmse": (pairwise_rmse, SAMPLES + "SELECT a.record AS vec_id, b.record AS v2, round(sqrt(avg((a.x - b.x) ** 2)), 4) AS rmse FROM samples a JOIN samples b ON b.record = a.record + 1 AND a.i = b.i GROUP BY ALL"),
+    "pairwise_rmse_all": (pairwise_rmse_all, SAMPLES + "SELECT a.record AS vec_id, b.record AS v2, round(sqrt(avg((a.x - b.x) ** 2)), 4) AS rmse FROM samples a JOIN samples b ON b.label = a.label AND b.record > a.record AND a.i = b.i GROUP BY ALL"),
 }

@@ -93,3 +93,15 @@ def test_prominence_reaches_past_ten_beats_and_stops_at_a_higher_one(spark):
                 want[k, i] = vs[i] - max(map(min, sides))
     got = {(r.record, r.i): r.prominence for r in sequence.peak_prominence(rows, "v", 100.0).collect()}
     assert got == want and want[5, 15] == 110.0
+
+
+def test_all_pairs_of_a_group_over_blocks_and_gaps(spark):
+    from pulseloom.operators import joins
+
+    rows = [(3 * i - 40, x, label) for i, x, label in waves(60, 6, 4, labels=3)]
+    frame = spark.createDataFrame(rows, "record long, x array<double>, label int")
+    want = {(a[0], b[0]): float(np.sqrt(np.mean((np.array(a[1]) - b[1]) ** 2))) for a in rows for b in rows if a[0] < b[0] and a[2] == b[2]}
+    for block in (5, 1000):
+        got = [tuple(r) for r in joins.all_pairs_rmse(frame, "label", block).collect()]
+        assert len(got) == len(want) and {(a, b): d for a, b, d in got} == pytest.approx(want)
+    assert joins.all_pairs_rmse(frame.limit(0), "label").count() == 0
