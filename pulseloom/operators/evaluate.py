@@ -43,7 +43,11 @@ def threshold_grid(rows: DataFrame, truth: str, score: str, steps: int = 99) ->
     """Balanced accuracy at thresholds k / (steps + 1): one pass over a histogram of the scores, then running sums."""
     from pyspark.sql.window import Window
 
-    bins = rows.select(F.col(truth).alias("y"), F.least(F.lit(steps + 1), F.greatest(F.lit(0), F.ceil(F.col(score) * (steps + 1)) - 1)).cast("int").alias("b"))
+    n, at = F.lit(steps + 1), F.col(score)
+    k = F.least(n, F.greatest(F.lit(0), F.ceil(at * n) - 1))
+    # The product may be off by a rounding: the last threshold below the score by comparison.
+    k = F.when((k > 0) & (k / n >= at), k - 1).when((k < n) & ((k + 1) / n < at), k + 1).otherwise(k)
+    bins = rows.select(F.col(truth).alias("y"), k.cast("int").alias("b"))
     bins = bins.groupBy("b").agg(F.count_if(F.col("y")).alias("p"), F.count_if(~F.col("y")).alias("q"))
     grid = rows.sparkSession.range(0, steps + 2).select(F.col("id").cast("int").alias("b")).join(bins, "b", "left").na.fill(0)
     # At most `steps` + 2 rows, whatever the table.

@@ -115,9 +115,18 @@ def best_threshold(spark, sf):
     return rounded(evaluate.best_threshold(_judged(spark, sf), "truth", "score", 19), "threshold", "balanced")
 
 
+def threshold_grid_99(spark, sf):
+    """The grid of the reference; `threshold_grid` and `best_threshold` have every fifth threshold of it."""
+    return rounded(evaluate.threshold_grid(_judged(spark, sf), "truth", "score"), "threshold", "balanced")
+
+
+def best_threshold_99(spark, sf):
+    return rounded(evaluate.best_threshold(_judged(spark, sf), "truth", "score"), "threshold", "balanced")
+
+
 def bootstrap_ci(spark, sf):
     """Poisson bootstrap by hash; no SQL twin."""
-    return rounded(evaluate.bootstrap_mean(_judged(spark, sf).select("doc_id", F.col("truth").cast("double").alias("y")), "y"), "mean", "low", "high")
+    return rounded(evaluate.bootstrap_mean(_judged(spark, sf).select("doc_id", F.col("truth").cast("double").alias("y")), "y", replicates=1000), "mean", "low", "high")
 
 
 def rollup_average(spark, sf):
@@ -252,6 +261,8 @@ SELECT p.record, k AS i, round(a.x + (p - floor(p)) * (b.x - a.x), 4) + 0.0 AS y
     "confusion": (confusion, "WITH r AS (SELECT [CASE WHEN quality = 1 THEN 'good' END, CASE WHEN toxic = 1 THEN 'toxic' END, lang] AS t, source FROM labels JOIN documents USING (doc_id)), u AS (SELECT unnest(t) AS truth, source AS found FROM r) SELECT truth, found, count(*) AS n FROM u WHERE truth IS NOT NULL GROUP BY ALL"),
     "threshold_grid": (threshold_grid, _JUDGED + ", g AS (SELECT unnest(generate_series(1, 19)) AS k) SELECT round(k / 20, 4) AS threshold, round((count(*) FILTER (truth AND score > k / 20) / count(*) FILTER (truth) + count(*) FILTER (NOT truth AND NOT score > k / 20) / count(*) FILTER (NOT truth)) / 2, 4) AS balanced FROM j, g GROUP BY k"),
     "best_threshold": (best_threshold, _JUDGED + ", g AS (SELECT unnest(generate_series(1, 19)) AS k), b AS (SELECT k / 20 AS t, (count(*) FILTER (truth AND score > k / 20) / count(*) FILTER (truth) + count(*) FILTER (NOT truth AND NOT score > k / 20) / count(*) FILTER (NOT truth)) / 2 AS b FROM j, g GROUP BY k) SELECT round(t, 4) AS threshold, round(b, 4) AS balanced FROM b ORDER BY b DESC, t LIMIT 1"),
+    "threshold_grid_99": (threshold_grid_99, _JUDGED + ", g AS (SELECT unnest(generate_series(1, 99)) AS k) SELECT round(k / 100, 4) AS threshold, round((count(*) FILTER (truth AND score > k / 100) / count(*) FILTER (truth) + count(*) FILTER (NOT truth AND NOT score > k / 100) / count(*) FILTER (NOT truth)) / 2, 4) AS balanced FROM j, g GROUP BY k"),
+    "best_threshold_99": (best_threshold_99, _JUDGED + ", g AS (SELECT unnest(generate_series(1, 99)) AS k), b AS (SELECT k / 100 AS t, (count(*) FILTER (truth AND score > k / 100) / count(*) FILTER (truth) + count(*) FILTER (NOT truth AND NOT score > k / 100) / count(*) FILTER (NOT truth)) / 2 AS b FROM j, g GROUP BY k) SELECT round(t, 4) AS threshold, round(b, 4) AS balanced FROM b ORDER BY b DESC, t LIMIT 1"),
     "bootstrap_ci": (bootstrap_ci, None),
     "rollup_average": (rollup_average, "SELECT coalesce(l_returnflag, 'Average') AS flag, coalesce(l_linestatus, 'Average') AS status, round(avg(l_quantity), 4) AS q, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)"),
     "class_mapper": (class_mapper, BEATS + "SELECT CASE event_type WHEN 'click' THEN 'N' WHEN 'view' THEN 'N' WHEN 'error' THEN 'V' ELSE event_type END AS cls, count(*) AS count FROM beats GROUP BY 1"),

@@ -105,3 +105,16 @@ def test_all_pairs_of_a_group_over_blocks_and_gaps(spark):
         got = [tuple(r) for r in joins.all_pairs_rmse(frame, "label", block).collect()]
         assert len(got) == len(want) and {(a, b): d for a, b, d in got} == pytest.approx(want)
     assert joins.all_pairs_rmse(frame.limit(0), "label").count() == 0
+
+
+def test_threshold_grid_at_scores_on_thresholds(spark):
+    from pulseloom.operators import evaluate
+
+    rows = [(k % 3 == 0, k / 100) for k in range(101)] + [(k % 2 == 0, k / 1000) for k in range(0, 1000, 7)]
+    frame = spark.createDataFrame(rows, "y boolean, s double")
+    pos, neg = [s for y, s in rows if y], [s for y, s in rows if not y]
+    got = [(r.threshold, r.balanced) for r in evaluate.threshold_grid(frame, "y", "s").orderBy("threshold").collect()]
+    assert len(got) == 99
+    assert dict(got) == pytest.approx({k / 100: (sum(s > k / 100 for s in pos) / len(pos) + sum(s <= k / 100 for s in neg) / len(neg)) / 2 for k in range(1, 100)})
+    best = evaluate.best_threshold(frame, "y", "s").first()
+    assert best.balanced == pytest.approx(max(b for _, b in got))
