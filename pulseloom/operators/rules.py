@@ -1,7 +1,7 @@
 """The rhythm rules as DataFrame stages: beats in, labelled intervals (record, name, first, last, seq) out.
 
-The order is part of the meaning, since a later rule sees the labels that earlier ones wrote: `apply_rules` labels the
-beats anew after each stage, the last writer winning.
+The order is part of the meaning, the last writer winning. Here the first seven stages read the beats as they came;
+sinus rhythm and premature beats see the labels written before them. The rules that are missing are in the README.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ def premature_beats(beats: DataFrame, seq: int, chance: float = 0.05) -> DataFra
 
 
 def apply_rules(beats: DataFrame, noise: Column, fibrillation: Column) -> DataFrame:
-    """All labels, in the order of the rules; sinus rhythm is looked for among beats that no earlier rule took."""
+    """The labels of the rules given here, in order; sinus rhythm is looked for among beats that no earlier rule took."""
     stages = [
         mask_rule(beats, noise & ~fibrillation, "NOISE", 1),
         mask_rule(beats, fibrillation, "AFIB", 2),

@@ -39,7 +39,7 @@ def premature_rule(spark, sf):
 
 
 def rule_engine(spark, sf):
-    """All rules in order; held against the rules one by one in the tests."""
+    """The rules of `apply_rules` in order, which are fewer than the survey's."""
     rows = _rated(spark, sf)
     return rules.apply_rules(rows, F.col("value") > 150, F.col("event_type") == "error")
 
