@@ -16,6 +16,9 @@ from pyspark.sql.window import Window
 #: Rows of a key table (a few longs each) up to which it is broadcast; beyond, the same join is shuffled.
 BROADCAST_ROWS = 500_000
 
+#: Bytes of a row group of an intermediate table.
+ROW_GROUP_BYTES = 32_000_000
+
 #: ASCII white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = "[\\x20\\x09-\\x0D]"
 
@@ -24,9 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Keep the batches that Python workers get small, since one row may hold a very long text."""
+def arrow_batches(spark: SparkSession, rows: int = 500, size: int = 16_000_000) -> None:
+    """Keep the batches that Python workers get small in rows and bytes, since one row may hold a very long text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,11 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a result that several later steps read to the shared folder and read it back, which cuts its lineage.
 
-    The files outlive lost executors and go when the session's JVM ends.
+    The files outlive lost executors and go when they are discarded or the session's JVM ends. Row groups are small, as
+    each task's writer holds one in memory.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pulseloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
     jvm = spark.sparkContext._jvm
     with contextlib.suppress(Exception):
         target = jvm.org.apache.hadoop.fs.Path(path)

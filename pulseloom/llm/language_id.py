@@ -3,15 +3,15 @@
 Each language has a raw-content dictionary, the end of a bounded sample of labelled texts (`SAMPLE_ROWS` rows a language,
 `SAMPLE_BYTES` of each row, chosen by a hash of the id). A text is cut into blocks of `BLOCK` bytes, so what a long text
 says earlier does not stand in for the dictionary, and every block is compressed with every dictionary; sizes add up
-over the whole text. Short texts are compressed at a level that also finds short matches, after a run of line feeds that
-keeps the library from storing them as they are. The prediction is the smallest
-total; the margin is the share of the second smallest that it saves, the score grows with the margin, and a text whose
-margin is under `MARGIN` is rejected.
+over the whole text. Every block follows a run of line feeds, which keeps the library from storing a short one as it is;
+level and framing are the same for texts of all sizes. The prediction is the smallest total; the margin is the share of
+the second smallest that it saves, the score grows with the margin, and a text whose margin is under `MARGIN` is rejected.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; with no labelled row every text is `und`;
-with one language it scores 1; ties go to the language with more labelled rows, then to the one that sorts first; rows without lang are not learned from; a null
-doc_id is never held out; repeated rows are predicted alike; an empty table gives an empty result; extra columns are
-ignored by `classify` and carried along by `accepted`.
+with one language it scores 1; ties go to the language with more labelled rows, then to the one that sorts first, with
+margin 0; rows without lang are not learned from; a null doc_id is never held out; repeated rows are predicted alike; an
+empty table gives an empty result; extra columns are ignored by `classify` and carried along by `accepted`, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -31,8 +31,7 @@ SAMPLE_ROWS = 400
 SAMPLE_BYTES = 1_000
 DICTIONARY_BYTES = 112_000
 BLOCK = 4_096
-#: Compression levels of texts of up to SHORT bytes and of longer ones.
-LEVELS, SHORT = (19, 3), 512
+LEVEL = 6
 LEAD = b"\n" * 256
 #: Least share of the second smallest size that the smallest must save for a prediction not to be rejected.
 MARGIN = 0.002
@@ -72,23 +71,19 @@ class Compressors:
     def __init__(self, contents: dict[str, bytes]):
         import zstandard
 
-        self.langs = list(contents)
-        self.short, self.long = ([self._codec(zstandard, c, level) for c in contents.values()] for level in LEVELS)
-
-    @staticmethod
-    def _codec(zstandard, content: bytes, level: int):
-        made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        made.precompute_compress(level=level)
-        return zstandard.ZstdCompressor(level=level, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.langs, self.codecs = list(contents), []
+        for content in contents.values():
+            made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            made.precompute_compress(level=LEVEL)
+            self.codecs.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def classify(self, text: str | None) -> tuple[str, float, float]:
         """Language, score, margin."""
         if not self.langs or not text or not _LETTER.search(text):
             return UNDETERMINED, 0.0, 0.0
         data = folded(text)
-        short = len(data) <= SHORT
-        blocks = [LEAD + data] if short else [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        sizes = sorted((sum(len(codec.compress(b)) for b in blocks), k) for k, codec in enumerate(self.short if short else self.long))
+        blocks = [LEAD + data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+        sizes = sorted((sum(len(codec.compress(b)) for b in blocks), k) for k, codec in enumerate(self.codecs))
         if len(sizes) == 1:
             return self.langs[0], 1.0, 1.0
         margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
@@ -102,20 +97,23 @@ def classify(docs: DataFrame, contents: dict[str, bytes], keep: list[str]) -> Da
 
 
 def _classify(docs: DataFrame, contents: dict[str, bytes], keep: list[str]) -> DataFrame:
-    """`classify` with `k_` before the names kept, so that none can clash."""
+    """`classify` with `k_` before the names kept, so that none can clash; a text that is kept is sent once."""
     spark = docs.sparkSession
     common.arrow_batches(spark)
     sent = spark.sparkContext.broadcast(contents)  # at most DICTIONARY_BYTES a language
-    plain = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.col("text").alias("lid_text"))
-    schema = T.StructType([*plain.schema.fields[:-1], T.StructField("lid_lang", T.StringType()), T.StructField("lid_score", T.DoubleType()), T.StructField("lid_margin", T.DoubleType())])
+    columns = [F.col(c).alias(f"k_{c}") for c in keep]
+    source = "k_text" if "text" in keep else "lid_text"
+    plain = docs.select(*columns) if "text" in keep else docs.select(*columns, F.col("text").alias("lid_text"))
+    names = [f"k_{c}" for c in keep]
+    schema = T.StructType([*plain.schema.fields[: len(keep)], T.StructField("lid_lang", T.StringType()), T.StructField("lid_score", T.DoubleType()), T.StructField("lid_margin", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = Compressors(sent.value)
         for batch in batches:
-            found = [compressors.classify(t.as_py()) for t in batch.column("lid_text")]
-            names = [c for c in batch.schema.names if c != "lid_text"]
+            found = [compressors.classify(t.as_py()) for t in batch.column(source)]
             made = [pa.array([f[0] for f in found], pa.string()), *[pa.array([f[k] for f in found], pa.float64()) for k in (1, 2)]]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *made], names=[*names, "lid_lang", "lid_score", "lid_margin"])
+        common.trim()
 
     return plain.mapInArrow(run, schema)
 

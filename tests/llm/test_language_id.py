@@ -1,6 +1,11 @@
+import re
+import struct
 import zlib
+from collections import Counter
 
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from pulseloom.llm import language_id
@@ -50,3 +55,79 @@ def test_stage_keeps_documents_with_a_language(spark, predicted):
     n, stay = docs.count(), language_id.accepted(docs).count()
     print("kept", stay, "of", n)
     assert stay >= 0.97 * n
+
+
+def spark_hash(word, number):
+    seed = xxhash.xxh64_intdigest(word.encode(), 42)
+    return struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(struct.pack("<q", number), seed)))[0]
+
+
+def fold(text):
+    return re.sub(rb"[^a-z\x80-\xff]+", b" ", text.lower().encode())
+
+
+def brute(rows):
+    """(language, score) of every row, from the rows alone: sample, dictionaries and one compression per block and language."""
+    learn = [(i, t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 5 and lang is not None]
+    counts = Counter(lang for _, _, lang in learn)
+    dictionaries = {}
+    for lang in sorted(counts, key=lambda x: (-counts[x], x)):
+        mine = []
+        for i, t, of in learn:
+            chance = ((spark_hash("language", i) & (2**64 - 1)) >> 11) / 2**53
+            if of == lang and t and re.search(r"[^\W\d_]", t) and chance < 2 * language_id.SAMPLE_ROWS / counts[lang]:
+                mine.append((spark_hash("sample", i), i, t[:1000]))
+        chosen = sorted(mine)[: language_id.SAMPLE_ROWS]
+        dictionaries[lang] = b" ".join(fold(t) for _, _, t in reversed(chosen))[-112_000:]
+    out = []
+    for i, t, _ in rows:
+        if not t or not re.search(r"[^\W\d_]", t):
+            out.append((i, "und", 0.0))
+            continue
+        data, sizes = fold(t), []
+        for k, content in enumerate(dictionaries.values()):
+            total = 0
+            for at in range(0, len(data), 4096):
+                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                total += len(zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(b"\n" * 256 + data[at : at + 4096]))
+            sizes.append((total, k))
+        (best, k), (second, _) = sorted(sizes)[:2]
+        saved = (second - best) / second
+        out.append((i, list(dictionaries)[k], saved / (saved + 0.05)))
+    return out
+
+
+def test_query_against_brute_force(spark):
+    small = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.query(spark, small).collect()}
+    want = brute(rows)
+    assert len(got) == len(rows) == len(want)
+    for i, lang, score in want:
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=0.02), i
+
+
+def test_one_byte_more_changes_little():
+    words = "the house and the garden of the king and the people of the town ".encode()
+    codecs = language_id.Compressors({"en": words * 40, "de": "das haus und der garten des königs und die leute der stadt ".encode() * 40})
+    scores = [codecs.classify((words * 20)[:n].decode())[1] for n in (511, 512, 513, 514)]
+    assert max(scores) - min(scores) < 0.05
+
+
+def test_tie_very_long_text_and_a_null_id(spark):
+    same = "la casa del rey"
+    codecs = language_id.Compressors({"b": same.encode() * 9, "a": same.encode() * 9})
+    assert codecs.classify(same) == ("b", 0.0, 0.0)  # the language with more labelled rows comes first
+    rows = [(None, "the house and the garden " * 400_000, "en"), (None, None, None), (1, "das haus und der garten", "de"), (2, "the house and the garden", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    contents = language_id.dictionaries(docs.where(~language_id.held_out(F.col("doc_id"))))
+    got = language_id.classify(docs.withColumn("held", language_id.held_out(F.col("doc_id"))), contents, ["doc_id", "held"]).collect()
+    assert not any(r.held for r in got if r.doc_id is None)
+    assert sorted(r.lid_lang for r in got) == ["de", "en", "en", "und"]
+
+
+def test_clashing_names(spark):
+    rows = [(i, t, lang, "x", "y", 1) for i, (t, lang) in enumerate([("the house and the garden " * 3, "en"), ("das haus und der garten " * 3, "de")] * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lid_text string, k_text string, lid_lang int")
+    stay = language_id.accepted(docs)
+    assert stay.columns == docs.columns and stay.count() == 16
