@@ -1,10 +1,11 @@
 """Chat formatting in budgeted windows.
 
 A conversation's turns are rendered by one template and laid into windows of at most `BUDGET` tokens, turn-aligned: the
-running sum of turn tokens chooses how far a window reaches. Every window begins with the system turn, if there is one,
-and repeats up to `HISTORY` tokens of the turns before it for context; the loss mask covers the text of assistant turns
-that are new in the window, so a repeated target is never trained on twice. A turn longer than the budget has a window
-to itself.
+running sum of the tokens of the rendered turns, template and escapes included, chooses how far a window reaches. Every
+window begins with the system turn, if there is one, and repeats up to `HISTORY` tokens of the turns before it for context;
+the loss mask covers the text of assistant turns that are new in the window, so a repeated target is never trained on twice.
+Where the system turn and the next turn do not fit into one window together, that window goes without the system turn. Only
+a turn that is longer than the budget by itself exceeds it; it has a window to itself.
 
 The template writes `<turn role="user">`, a line feed, the text and `</turn>` with a line feed. Inside a text (and a
 role) every backslash and every `<` gets a backslash before it, so no control string can appear in it and `unescape`
@@ -33,8 +34,6 @@ from . import common, tokens
 BUDGET = 2048
 HISTORY = 512
 VOCABULARY = "word_bpe_49k.json"
-#: Tokens that the template adds to a turn, at most.
-OVERHEAD = 16
 
 _ESCAPE = re.compile(r"[\\<]")
 _UNESCAPE = re.compile(r"\\(.)", re.S)
@@ -67,16 +66,15 @@ class Window:
 
 
 def windows(turns: Iterator[tuple[str, str]], count, budget: int = BUDGET, history: int = HISTORY) -> Iterator[Window]:
-    """The windows of one conversation's (role, text) turns; `count` gives a text's tokens."""
+    """The windows of one conversation's (role, text) turns; `count` gives the tokens of a rendered turn, which add up, as
+    every turn ends with a line feed."""
     system: tuple[str, str, int] | None = None
-    kept: list[tuple[str, str, int]] = []  # what the next window may repeat
     fresh: list[tuple[str, str, int]] = []
-    repeated: list[tuple[str, str, int]] = []
+    shown: list[tuple[str, str, int]] = []  # what the window repeats: the system turn, then history
     used = 0
 
     def close() -> Window:
         parts, loss, at = [], [], 0
-        shown = ([system] if system and (not fresh or fresh[0] is not system) else []) + repeated
         for k, (role, text, _) in enumerate(shown + fresh):
             made, start, end = render(role, text)
             if k >= len(shown) and role == "assistant":
@@ -86,20 +84,20 @@ def windows(turns: Iterator[tuple[str, str]], count, budget: int = BUDGET, histo
         return Window("".join(parts), loss, len(shown) + len(fresh), len(shown))
 
     for k, (role, text) in enumerate(turns):
-        turn = (role, text, count(text) + OVERHEAD)
+        turn = (role, text, count(render(role, text)[0]))
         if fresh and used + turn[2] > budget:
             yield close()
-            kept = [t for t in kept + fresh if t is not system]
-            fresh, repeated = [], []
-            used = system[2] if system else 0
-            room = min(history, budget - used - turn[2])
-            for t in reversed(kept):
+            before = [t for t in shown + fresh if t is not system]
+            with_system = system is not None and system[2] + turn[2] <= budget
+            used = system[2] if with_system else 0
+            room, repeated = min(history, budget - used - turn[2]), []
+            for t in reversed(before):
                 room -= t[2]
                 if room < 0:
                     break
                 repeated.insert(0, t)
                 used += t[2]
-            kept = list(repeated)
+            shown, fresh = ([system] if with_system else []) + repeated, []
         if k == 0 and role == "system":
             system = turn
         fresh.append(turn)
