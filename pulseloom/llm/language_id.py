@@ -1,7 +1,7 @@
 """Language identification by compression: the zstandard dictionary that makes a text smallest names its language.
 
 Each language has a raw-content dictionary, the end of a bounded sample of labelled texts (`SAMPLE_ROWS` rows a language,
-`SAMPLE_BYTES` of each row, chosen by a hash of the id). A text is cut into blocks of `BLOCK` bytes, so what a long text
+`SAMPLE_BYTES` of each row, chosen by a hash of id and text). A text is cut into blocks of `BLOCK` bytes, so what a long text
 says earlier does not stand in for the dictionary, and every block is compressed with every dictionary; sizes add up
 over the whole text. Every block follows a run of line feeds, which keeps the library from storing a short one as it is;
 level and framing are the same for texts of all sizes. The prediction is the smallest total; the margin is the share of
@@ -56,11 +56,12 @@ def dictionaries(docs: DataFrame) -> dict[str, bytes]:
     if not labelled:
         return {}
     share = F.create_map(*[F.lit(x) for lang, n in sorted(labelled.items()) for x in (lang, 2 * SAMPLE_ROWS / n)])
-    order = Window.partitionBy("lang").orderBy("h", "doc_id", "t")
-    # Twice as many as are wanted are drawn by chance, so no task sends more than its part; then the first are taken.
-    drawn = docs.where(F.col("lang").isNotNull()).where(common.chance(F.lit("language"), "doc_id") < F.element_at(share, F.col("lang"))).where(F.col("text").rlike("\\p{L}"))
-    rows = drawn.select("lang", "doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("t"), F.xxhash64(F.lit("sample"), "doc_id").alias("h"))
-    rows = rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= SAMPLE_ROWS)
+    order = Window.partitionBy("lang").orderBy("h")
+    # Twice as many as are wanted are drawn by chance and equal rows count once, so no task sends more than its part; then the
+    # first are taken.
+    drawn = docs.where(F.col("lang").isNotNull()).where(common.chance(F.lit("language"), "doc_id", "text") < F.element_at(share, F.col("lang"))).where(F.col("text").rlike("\\p{L}"))
+    rows = drawn.select("lang", F.substring("text", 1, SAMPLE_BYTES).alias("t"), F.xxhash64(F.lit("sample"), "doc_id", "text").alias("h"))
+    rows = rows.groupBy("lang", "h").agg(F.min("t").alias("t")).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= SAMPLE_ROWS)
     by: dict[str, list[tuple[int, str]]] = {}
     for r in rows.collect():
         by.setdefault(r["lang"], []).append((r["rn"], r["t"]))

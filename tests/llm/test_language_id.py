@@ -57,9 +57,10 @@ def test_stage_keeps_documents_with_a_language(spark, predicted):
     assert stay >= 0.97 * n
 
 
-def spark_hash(word, number):
+def spark_hash(word, number, text):
     seed = xxhash.xxh64_intdigest(word.encode(), 42)
-    return struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(struct.pack("<q", number), seed)))[0]
+    seed = xxhash.xxh64_intdigest(struct.pack("<q", number), seed)
+    return struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(text.encode(), seed)))[0]
 
 
 def fold(text):
@@ -74,11 +75,12 @@ def brute(rows):
     for lang in sorted(counts, key=lambda x: (-counts[x], x)):
         mine = []
         for i, t, of in learn:
-            chance = ((spark_hash("language", i) & (2**64 - 1)) >> 11) / 2**53
-            if of == lang and t and re.search(r"[^\W\d_]", t) and chance < 2 * language_id.SAMPLE_ROWS / counts[lang]:
-                mine.append((spark_hash("sample", i), i, t[:1000]))
-        chosen = sorted(mine)[: language_id.SAMPLE_ROWS]
-        dictionaries[lang] = b" ".join(fold(t) for _, _, t in reversed(chosen))[-112_000:]
+            if of == lang and t and re.search(r"[^\W\d_]", t):
+                chance = ((spark_hash("language", i, t) & (2**64 - 1)) >> 11) / 2**53
+                if chance < 2 * language_id.SAMPLE_ROWS / counts[lang]:
+                    mine.append((spark_hash("sample", i, t), t[:1000]))
+        chosen = sorted(set(mine))[: language_id.SAMPLE_ROWS]
+        dictionaries[lang] = b" ".join(fold(t) for _, t in reversed(chosen))[-112_000:]
     out = []
     for i, t, _ in rows:
         if not t or not re.search(r"[^\W\d_]", t):
