@@ -1,23 +1,30 @@
 """Personal data: generators propose spans, boosted trees judge them, calibrated thresholds choose.
 
 Four base patterns (e-mail, IP address, card, phone) always count. High-recall generators propose further, overlapping
-spans: addresses written out with "at" and "dot", numbers in groups without a leading plus, cards with other separators.
-Gradient-boosted trees over format and context features score each candidate. They are trained on a bounded sample
-(some `SAMPLE_ROWS` documents, the first `SAMPLE_CHARS` characters of each, chosen by a hash of the id): base spans and
-rewritten forms of them in their own context are positives, what else the generators propose there is negative. A
-logistic calibration on a part kept back gives probabilities, and each kind gets the lowest threshold that reaches
-`PRECISION` there. Chosen spans that overlap neither a base span nor a better candidate are added. Prediction reads
-whole texts.
-
-Defined cases: null counts as empty and has no spans; with too few positives in the sample nothing is added; spans at
-equal starts go by kind as listed; a null doc_id is a document like any other; repeated rows are treated alike; an
-empty table gives an empty result; extra columns are ignored.
+spans: addresses written with "at" and "dot" in words, brackets or blanks, and every stretch of a run of digits, from one
+group's start to another's end, that has a fitting number of digits. Gradient-boosted trees over format and context features
+score each candidate.
+
+They are trained on examples, whatever the size of the table: made-up entities (seeded, `ENTITIES` of each kind) and the
+base spans of a bounded sample of documents (some `SAMPLE_ROWS`, the first `SAMPLE_CHARS` characters of each, chosen by
+a hash of the row) are written in other forms and set into neutral sentences and into places of the sample. Negatives are
+made-up decoys (dates, versions, order numbers, large numbers, places on the web) and those candidates of the sample that
+cannot be what their kind says (parts of longer runs, wrong checksums, dates); all others might be personal data and teach
+nothing. Calibration uses forms, decoys and documents that training has not seen: a logistic fit gives probabilities, and each kind gets the lowest
+threshold that reaches `PRECISION` there. Chosen spans that overlap neither a base span nor a better candidate are
+added. Prediction reads whole texts, some `GATHER` candidates at a time.
+
+Defined cases: null counts as empty and has no spans; an empty sample leaves the made-up examples; spans at equal starts
+go by kind as listed; equally likely candidates go by start, then kind, then end; a null doc_id is a document like any
+other; repeated rows are treated alike and count once in the sample; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,7 +39,10 @@ from . import common
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_ROWS = 2_000
 SAMPLE_CHARS = 6_000
-LEAST_POSITIVES = 30
+#: Made-up entities of each kind, and decoys of each form.
+ENTITIES, DECOYS = 60, 40
+#: Candidates that are scored at a time.
+GATHER = 20_000
 PRECISION = 0.95
 TREES, DEPTH, BINS, RATE = 40, 3, 32, 0.3
 
@@ -83,25 +93,53 @@ def _order(s: Span) -> tuple[int, int, int]:
     return s[0], KINDS.index(s[2]), s[1]
 
 
-_WRITTEN = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?(?:\(at\)|\[at\]|@|\sat\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\.|\sdot\s)\s?[A-Za-z0-9-]{1,63}){1,4}", re.I)
-_DOTS = re.compile(r"dot[\s)\]]|at[)\]]", re.I)
-_NUMBERS = re.compile(r"(?:\(|\+|00)?[0-9](?:[\x20\t./()_–-]{0,2}[0-9]){6,22}")
+_AT = re.compile(r"@|[\s(\[{]at[\s)\]}]", re.I)
+_HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.|\s?[(\[{](?:dot|\.)[)\]}]\s?|\s(?:dot|\.)\s)[A-Za-z0-9-]{1,63}){1,4}", re.I)
+_RUN = re.compile(r"[0-9]+(?:[\x20\t./()_\u2013-]{1,2}[0-9]+)*")
+_GROUP = re.compile(r"[0-9]+")
+_WRITTEN_IP = re.compile(r"[0-9]{1,3}(?:(?:\s?[(\[{](?:dot|\.)[)\]}]\s?|\s(?:dot|\.)\s)[0-9]{1,3}){3}", re.I)
+#: A whole phone number, a card number: least and most digits.
+_PHONE_DIGITS, _CARD_DIGITS = (7, 15), (13, 19)
 
+#: A proposed span, with the digits of its run before and after it.
+Candidate = tuple[Span, int, int]
 
-def candidates(text: str) -> list[Span]:
+
+def candidates(text: str) -> Iterator[Candidate]:
     """What the generators propose: many more than are personal data, and some that overlap."""
-    out: list[Span] = []
-    if _DOTS.search(text):
-        out += [(m.start(), m.end(), "email") for m in _WRITTEN.finditer(text)]
-    for m in _NUMBERS.finditer(text):
-        digits = len(_NOT_DIGIT.sub("", m[0]))
-        if 13 <= digits <= 19:
-            out.append((m.start(), m.end(), "card"))
-        if 7 <= digits <= 15:
-            out.append((m.start(), m.end(), "phone"))
-        if m[0].count(".") == 3:
-            out.append((m.start(), m.end(), "ip"))
-    return out
+    for m in _AT.finditer(text):
+        first, end = m.start(), m.end()
+        first -= first > 0 and text[first - 1].isspace() and not text[first].isspace()
+        end += end < len(text) and text[end].isspace() and not text[end - 1].isspace()
+        local = first
+        while local and first - local < 64 and text[local - 1] in _LOCAL:
+            local -= 1
+        host = _HOST.match(text, end) if local < first else None
+        if host:
+            yield (local, host.end(), "email"), 0, 0
+    for m in _WRITTEN_IP.finditer(text):
+        yield (m.start(), m.end(), "ip"), 0, 0
+    for m in _RUN.finditer(text):
+        if m.end() - m.start() >= _PHONE_DIGITS[0]:
+            yield from _stretches(text, [g.span() for g in _GROUP.finditer(text, m.start(), m.end())])
+
+
+def _stretches(text: str, groups: list[tuple[int, int]]) -> Iterator[Candidate]:
+    """The stretches of a run of digit groups that have enough digits for a kind and not too many."""
+    before, total = 0, sum(b - a for a, b in groups)
+    for i, (first, end) in enumerate(groups):
+        digits = 0
+        for a, b in groups[i:]:
+            digits += b - a
+            if digits > _CARD_DIGITS[1]:
+                break
+            # With the bracket that opens before a bracketed first group.
+            start = first - (first > 0 and text[first - 1] == "(" and ")" in text[first:b])
+            if _CARD_DIGITS[0] <= digits:
+                yield (start, b, "card"), before, total - before - digits
+            if _PHONE_DIGITS[0] <= digits <= _PHONE_DIGITS[1]:
+                yield (start, b, "phone"), before, total - before - digits
+        before += end - first
 
 
 #: Words near a span that hint at a kind, in the languages of the corpus.
@@ -109,17 +147,21 @@ _HINTS = {
     "email": re.compile(r"mail|contact|kontakt|correo|courriel|write", re.I),
     "ip": re.compile(r"\bip\b|address|host|server|adresse", re.I),
     "card": re.compile(r"card|visa|karte|carte|tarjeta|credit", re.I),
-    "phone": re.compile(r"phone|tel|call|mobile|fax|anruf|appel|llam", re.I),
+    "phone": re.compile(r"phone|tel\b|tel\.|call|mobile|fax|anruf|appel|llam", re.I),
 }
 _YEAR = re.compile(r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])")
+_MARK = re.compile(r"[(\[{](?:at|dot|\.)[)\]}]", re.I)
+_DATE = re.compile(r"(?<![0-9])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)?[0-9]{2}|(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2})(?![0-9])")
 
 
-def features(text: str, span: Span) -> list[float]:
-    a, b, kind = span
+def features(text: str, candidate: Candidate) -> list[float]:
+    (a, b, kind), run_before, run_after = candidate
     s, before, after = text[a:b], text[max(0, a - 40) : a], text[b : b + 40]
-    groups = [len(g) for g in _NOT_DIGIT.split(s) if g]
+    groups = [len(g) for g in _GROUP.findall(s)]
     digits = _NOT_DIGIT.sub("", s)
     near = before + " " + after
+    local = re.split(r"@|[\s(\[{]at", s, maxsplit=1, flags=re.I)[0] if kind == "email" else ""
+    marks = set(_GROUP.sub("", s)) if kind != "email" else ()
     return [
         *(kind == k for k in KINDS),
         len(s),
@@ -127,21 +169,35 @@ def features(text: str, span: Span) -> list[float]:
         len(groups),
         max(groups, default=0),
         min(groups, default=0),
+        groups[0] if groups else 0,
         groups[-1] if groups else 0,
+        len(set(groups)),
+        len(marks),
         s.count("-"),
         s.count("."),
         s.count(" "),
         s.count("/"),
         s.count("(") + s.count(")"),
-        s.startswith("("),
+        s.startswith("0"),
         s.startswith("00"),
         len(set(digits)),
         bool(digits) and luhn(digits),
         bool(_YEAR.search(s)),
+        bool(_DATE.search(s)),
+        run_before,
+        run_after,
+        kind == "ip" and all(int(g) <= 255 for g in _GROUP.findall(s)),
         sum(c.isalpha() for c in s),
-        "dot" in s.lower(),
+        len(_MARK.findall(s)),
+        " dot " in s.lower(),
+        " . " in s,
+        " at " in s.lower(),
+        "@" in s,
+        any(not c.isalpha() for c in local),
         bool(before) and before[-1].isalnum(),
         bool(after) and after[0].isalnum(),
+        bool(before) and before[-1] in "#+-./:$\u20ac",
+        bool(after) and after[0] in "-./:%\u20ac",
         sum(c.isdigit() for c in near),
         sum(c.isalpha() for c in near),
         near.count("|") + near.count("\t"),
@@ -149,25 +205,154 @@ def features(text: str, span: Span) -> list[float]:
     ]
 
 
-def rewritten(text: str, span: Span) -> Iterator[str]:
-    """Other forms of a base span, as the generators should meet them."""
-    a, b, kind = span
+def _grouped(digits: str, sizes: tuple[int, ...], mark: str) -> str:
+    out, at = [], 0
+    for n in sizes:
+        out.append(digits[at : at + n])
+        at += n
+    return mark.join([*out, digits[at:]] if at < len(digits) else out)
+
+
+def _mail(address: str, at: str, dot: str) -> str:
+    user, host = address.split("@", 1)
+    return user + at + host.replace(".", dot)
+
+
+#: Other forms of an entity (an e-mail address, the digits of a card or a national phone number, an IP address): those of
+#: training and those of calibration.
+FORMS = {
+    "email": (
+        (
+            lambda e: _mail(e, " at ", " dot "),
+            lambda e: _mail(e, "[at]", "[dot]"),
+            lambda e: _mail(e, " (at) ", " (dot) "),
+            lambda e: _mail(e, " @ ", "."),
+            lambda e: _mail(e, "(at)", "."),
+            lambda e: _mail(e, " at " if not e.split("@")[0].isalpha() else " [at] ", "."),
+        ),
+        (
+            lambda e: _mail(e, " {at} ", " {dot} "),
+            lambda e: _mail(e, " AT ", " DOT "),
+            lambda e: _mail(e, "[at]", "."),
+            lambda e: _mail(e, " @ ", " . "),
+        ),
+    ),
+    "ip": (
+        (lambda e: e.replace(".", "[.]"), lambda e: e.replace(".", " dot "), lambda e: e.replace(".", "(dot)")),
+        (lambda e: e.replace(".", " . "), lambda e: e.replace(".", "(.)"), lambda e: e.replace(".", " [dot] ")),
+    ),
+    "card": (
+        (lambda e: _grouped(e, (4, 4, 4), "."), lambda e: _grouped(e, (4, 4, 4), "/"), lambda e: _grouped(e, (4, 6), ".")),
+        (lambda e: _grouped(e, (4, 4, 4), "_"), lambda e: _grouped(e, (4, 4, 4), "\u2013"), lambda e: _grouped(e, (4, 4, 4), "  ")),
+    ),
+    "phone": (
+        (
+            lambda e: _grouped(e, (3, 3), "-"),
+            lambda e: f"({e[:3]}) {_grouped(e[3:], (3,), '-')}",
+            lambda e: "0" + _grouped(e, (3, 3), " "),
+            lambda e: "0049 " + _grouped(e, (3, 3), " "),
+            lambda e: "0" + _grouped(e, (2, 4), " "),
+        ),
+        (lambda e: _grouped(e, (3, 3), "."), lambda e: "0" + _grouped(e, (3,), "/"), lambda e: "0033 " + _grouped(e, (3, 3), "-"), lambda e: "0" + _grouped(e, (2, 3), " ")),
+    ),
+}
+
+_SYLLABLES = ("an", "bo", "cla", "dra", "el", "fi", "gor", "ha", "in", "jo", "ka", "lu", "mar", "no", "ol", "pe", "ro", "sa", "ti", "ve")
+_SENTENCES = (
+    "You can write to {} about it", "Please call {} today", "mail: {}", "Tel. {}", "reach me: {}", "the card {} was used", "server {} is down",
+    "Ihre Nummer {} bitte", "mi correo {} gracias", "appelez {} demain", "They said {} again", "{}", "see ({}), thanks", "then {} and so on", "Kontakt: {}.", "my number is {} now",
+    "we paid with {} there", "from {} to us",
+)
+
+
+def _word(rng: random.Random) -> str:
+    return "".join(rng.choices(_SYLLABLES, k=rng.randint(2, 3)))
+
+
+def entity(kind: str, rng: random.Random) -> str:
+    """A made-up entity."""
+    if kind == "email":
+        user = rng.choice(("{a}", "{a}.{b}", "{a}_{b}", "{a}{n}", "{a}-{b}", "{a}.{n}")).format(a=_word(rng), b=_word(rng), n=rng.randint(1, 99))
+        return f"{user}@{rng.choice(('', 'mail.', 'post.'))}{_word(rng)}.{rng.choice(('com', 'org', 'net', 'de', 'fr', 'es', 'io'))}"
+    if kind == "ip":
+        return ".".join(str(rng.randint(1, 255)) for _ in range(4))
+    if kind == "phone":
+        return str(rng.randint(2, 9)) + "".join(rng.choices("0123456789", k=9))
+    digits = rng.choice("3456") + "".join(rng.choices("0123456789", k=14))
+    return next(digits + c for c in "0123456789" if luhn(digits + c))
+
+
+def _number(rng: random.Random, n: int) -> str:
+    return str(rng.randint(1, 9)) + "".join(rng.choices("0123456789", k=n - 1))
+
+
+def _unlucky(rng: random.Random) -> str:
+    """Sixteen digits that are no card number."""
+    return next(d for d in iter(lambda: _number(rng, 16), None) if not luhn(d))
+
+
+def _date(rng: random.Random, form: str) -> str:
+    return form.format(y=rng.randint(1950, 2030), m=rng.randint(1, 12), d=rng.randint(1, 28))
+
+
+#: What is no personal data though the generators propose it: for training and for calibration.
+DECOY_FORMS = (
+    (
+        lambda r: _date(r, "{y}-{m:02}-{d:02} {m:02}.{d:02}"),
+        lambda r: _date(r, "{d:02}.{m:02}.{y}") + " " + _date(r, "{d:02}.{m:02}.{y}"),
+        lambda r: _date(r, "{d}/{m}/{y}"),
+        lambda r: _date(r, "{y}{m:02}{d:02}"),
+        lambda r: f"{r.randint(1, 9)}.{r.randint(100, 999)}.{r.randint(100, 999)}.{r.randint(100, 999)}",
+        lambda r: f"order {_number(r, 8)}-{_number(r, 4)}",
+        lambda r: _unlucky(r),
+        lambda r: _grouped(_unlucky(r), (4, 4, 4), r.choice("./ -")),
+        lambda r: _number(r, r.randint(7, 19)),
+        lambda r: " ".join(str(r.randint(1, 99)) for _ in range(8)),
+        lambda r: f"{r.choice(('works', 'look', 'is', 'shop', 'available', 'sold'))} at {_word(r)}.{r.choice(('com', 'net', 'org'))}",
+        lambda r: f"arrived at {_word(r)} . {_word(r)} went on",
+        lambda r: f"v{r.randint(1, 9)}.{r.randint(0, 99)}.{r.randint(1000, 99999)}",
+        lambda r: f"{r.randint(10, 99)}.{_number(r, 5)} {r.randint(1, 99)}.{_number(r, 5)}",
+    ),
+    (
+        lambda r: _date(r, "{y}/{m:02}/{d:02} - ") + _date(r, "{y}/{m:02}/{d:02}"),
+        lambda r: _date(r, "{d}-{m}-{y}"),
+        lambda r: f"{r.randint(1, 99)} {r.randint(100, 999)} {r.randint(100, 999)}",
+        lambda r: f"ISBN 978-{r.randint(0, 9)}-{_number(r, 2)}-{_number(r, 6)}-{r.randint(0, 9)}",
+        lambda r: f"invoice {_date(r, '{y}')}-{_number(r, 6)}",
+        lambda r: _grouped(_unlucky(r), (4, 4, 4), r.choice("_/")),
+        lambda r: f"meet at {_word(r)}.{_word(r)}",
+        lambda r: _number(r, r.randint(7, 19)),
+        lambda r: f"{r.randint(1900, 1999)}-{r.randint(2000, 2030)}, {r.randint(1900, 1999)}-{r.randint(2000, 2030)}",
+        lambda r: f"1.{r.randint(0, 9)}.{r.randint(0, 9)}-{_number(r, 6)}",
+    ),
+)
+
+
+def _entity_of(text: str, span: Span) -> tuple[str, str] | None:
+    """The entity that a base span of the sample names, as `FORMS` take it."""
+    s, kind = text[span[0] : span[1]], span[2]
+    digits = _NOT_DIGIT.sub("", s)
+    if kind == "phone":
+        return ("phone", digits[-10:]) if len(digits) >= 11 else None
+    if kind == "card":
+        return ("card", digits) if len(digits) == 16 else None
+    return kind, s
+
+
+def _surely_other(text: str, candidate: Candidate) -> bool:
+    """Whether a candidate off the base spans cannot be what its kind says: the sample's own personal data must not be taught
+    as negatives."""
+    (a, b, kind), run_before, run_after = candidate
     s = text[a:b]
     if kind == "email":
-        user, host = s.split("@", 1)
-        yield f"{user} at {host.replace('.', ' dot ')}"
-        yield f"{user}[at]{host.replace('.', '[dot]')}"
-        yield f"{user} (at) {host.replace('.', ' (dot) ')}"
-    elif kind == "phone":
-        bare = s.lstrip("+")
-        yield "00" + bare
-        if " " in bare:
-            yield bare.split(" ", 1)[1]
-            yield bare.split(" ", 1)[1].replace("(", "").replace(")", "").replace(" ", "-")
-    elif kind == "card":
-        digits = _NOT_DIGIT.sub("", s)
-        for mark in "._/":
-            yield mark.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+        return not (_MARK.search(s) or "@" in s or " dot " in s.lower()) and s.split(maxsplit=1)[0].isalpha()
+    if kind == "ip":
+        return any(int(g) > 255 for g in _GROUP.findall(s))
+    if run_before + run_after > 0:
+        return True
+    if kind == "card":
+        return not luhn(_NOT_DIGIT.sub("", s))
+    return s.isdigit() or bool(_DATE.search(s))
 
 
 class Covered:
@@ -194,24 +379,46 @@ class Covered:
         self.ends.insert(k, span[1])
 
 
-def examples(texts: list[str]) -> tuple[list[list[float]], list[int]]:
-    """Features and labels of the candidates of labelled texts."""
-    rows, labels = [], []
+def examples(texts: list[str], fold: int) -> tuple[list[list[float]], list[int]]:
+    """Features and labels of the candidates of training (fold 0) or calibration (fold 1), from the sample's texts of the fold."""
+    rng, rows, labels = random.Random(fold), [], []
+
+    def take(before: str, made: str, after: str, kind: str | None) -> None:
+        text, first, end = before + made + after, len(before), len(before) + len(made)
+        for c in candidates(text):
+            a, b, of = c[0]
+            # Near misses of a planted entity are negatives of its kind; what stands around it teaches nothing.
+            if a < end and first < b and kind in (None, of):
+                rows.append(features(text, c))
+                labels.append(int((a, b, of) == (first, end, kind)))
+
+    places = [t for t in texts if len(t) > 200]
+    entities = [(kind, entity(kind, rng)) for kind in KINDS for _ in range(ENTITIES)]
     for text in texts:
         base = base_spans(text)
         covered = Covered(base)
+        entities += filter(None, (_entity_of(text, s) for s in base))
         for c in candidates(text):
-            if c not in covered:
+            if c[0] not in covered and _surely_other(text, c):
                 rows.append(features(text, c))
                 labels.append(0)
-        for s in base:
-            before, after = text[max(0, s[0] - 60) : s[0]], text[s[1] : s[1] + 60]
-            for form in rewritten(text, s):
-                whole, at = before + form + after, (len(before), len(before) + len(form))
-                for c in candidates(whole):
-                    if (c[0], c[1]) == at and c[2] == s[2]:
-                        rows.append(features(whole, c))
-                        labels.append(1)
+
+    def around() -> tuple[str, str]:
+        if places and rng.random() < 0.5:
+            text = rng.choice(places)
+            at = text.find(" ", rng.randrange(len(text) - 100)) + 1
+            return text[max(0, at - 60) : at], " " + text[at : at + 60]
+        before, after = rng.choice(_SENTENCES).split("{}")
+        return before, after
+
+    for kind, e in entities:
+        for form in FORMS[kind][fold]:
+            before, after = around()
+            take(before, form(e), after, kind)
+    for form in DECOY_FORMS[fold]:
+        for _ in range(DECOYS):
+            before, after = around()
+            take(before, form(rng), after, None)
     return rows, labels
 
 
@@ -277,16 +484,12 @@ class Judge:
         return 1 / (1 + np.exp(-(self.slope * self.trees.scores(x) + self.shift)))
 
     @classmethod
-    def train(cls, texts: list[str]) -> Judge | None:
-        rows, labels = examples(texts)
-        if sum(labels) < LEAST_POSITIVES:
-            return None
-        x, y = np.array(rows, float), np.array(labels, float)
-        back = np.arange(len(y)) % 4 == 3
-        trees = Boosted().fit(x[~back], y[~back])
-        s, t = trees.scores(x[back]), y[back]
-        a, b = 1.0, 0.0
-        for _ in range(25):  # Newton steps of a logistic fit of the labels kept back on their scores
+    def train(cls, texts: list[str]) -> Judge:
+        folds = [[t for k, t in enumerate(texts) if (k % 4 == 3) == bool(fold)] for fold in (0, 1)]
+        (x, y), (back, t) = ((np.array(rows, float), np.array(labels, float)) for rows, labels in (examples(folds[fold], fold) for fold in (0, 1)))
+        trees = Boosted().fit(x, y)
+        s, a, b = trees.scores(back), 1.0, 0.0
+        for _ in range(25):  # Newton steps of a logistic fit of the labels on their scores
             p = 1 / (1 + np.exp(-(a * s + b)))
             w = p * (1 - p) + 1e-6
             g = np.array([(s * (t - p)).sum() - 1e-3 * a, (t - p).sum()])
@@ -294,21 +497,49 @@ class Judge:
             da, db = np.linalg.solve(h, g)
             a, b = float(np.clip(a + da, 0.05, 10)), float(np.clip(b + db, -20, 20))
         judge = cls(trees, a, b, {})
-        p = judge.chances(x[back])
+        p = judge.chances(back)
         for k, kind in enumerate(KINDS):
-            mine = x[back][:, k] == 1
+            mine = back[:, k] == 1
             order = np.argsort(-p[mine], kind="stable")
-            right = t[mine][order].cumsum() / np.arange(1, mine.sum() + 1)
-            good = np.flatnonzero(right >= PRECISION)
-            judge.thresholds[kind] = max(0.5, float(p[mine][order][good[-1]])) if len(good) else 2.0
+            ranked = p[mine][order]
+            right = t[mine][order].cumsum() / np.arange(1, len(ranked) + 1)
+            good = np.flatnonzero((right >= PRECISION) & np.append(ranked[1:] < ranked[:-1], True))  # equal chances stand or fall together
+            judge.thresholds[kind] = max(0.5, float(ranked[good[-1]])) if len(good) else 2.0
         return judge
 
+    def choose(self, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
+        """The spans to add to each text's base spans; candidates are scored `GATHER` at a time."""
+        chosen: list[list[tuple[float, Span]]] = [[] for _ in texts]
+        where: list[tuple[int, Span]] = []
+        rows: list[list[float]] = []
+
+        def judged() -> None:
+            for (k, span), p in zip(where, self.chances(np.array(rows, float)), strict=True):
+                if p >= self.thresholds[span[2]]:
+                    chosen[k].append((float(p), span))
+            where.clear()
+            rows.clear()
+
+        for k, text in enumerate(texts):
+            covered = Covered(base[k])
+            for c in candidates(text):
+                if c[0] not in covered:
+                    where.append((k, c[0]))
+                    rows.append(features(text, c))
+                    if len(rows) >= GATHER:
+                        judged()
+        if rows:
+            judged()
+        return [added(c, b) for c, b in zip(chosen, base, strict=True)]
+
 
 def sample_texts(docs: DataFrame) -> list[str]:
-    """The sample, in an order by hash; a share of the rows is drawn, so no task sends more than its part."""
+    """The sample, in an order by hash; a share of the rows is drawn, equal ones count once, so no task sends more than its
+    part."""
     share = SAMPLE_ROWS / max(1, docs.count())
-    rows = docs.where(common.chance(F.lit("pii"), "doc_id") < share).where("text is not null").select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t"))
-    return [t for _, t in sorted((r["h"], r["t"]) for r in rows.limit(2 * SAMPLE_ROWS).collect())]
+    drawn = docs.where(common.chance(F.lit("pii"), "doc_id", "text") < share).where("text is not null")
+    rows = drawn.select(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t")).groupBy("h").agg(F.min("t").alias("t"))
+    return [r["t"] for r in rows.orderBy("h").limit(2 * SAMPLE_ROWS).collect()]
 
 
 def added(found: list[tuple[float, Span]], base: list[Span]) -> list[Span]:
@@ -334,24 +565,13 @@ def find(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = judge.value
         for batch in batches:
-            base, proposed, rows = [], [], []
-            for k, text in enumerate(batch.column("text")):
-                t = text.as_py() or ""
-                base.append(base_spans(t))
-                covered = Covered(base[k])
-                for c in candidates(t) if model else ():
-                    if c not in covered:
-                        proposed.append((k, c))
-                        rows.append(features(t, c))
-            chosen: dict[int, list[tuple[float, Span]]] = {}
-            if rows:
-                for (k, c), p in zip(proposed, model.chances(np.array(rows, float)), strict=True):
-                    if p >= model.thresholds[c[2]]:
-                        chosen.setdefault(k, []).append((float(p), c))
-            spans = [joined(b + added(chosen.get(k, []), b)) for k, b in enumerate(base)]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            base = [base_spans(t) for t in texts]
+            spans = [joined(b + more) for b, more in zip(base, model.choose(texts, base), strict=True)]
             counts = [pa.array([sum(s[2] == kind for s in b) for b in base], pa.int64()) for kind in KINDS]
             sums = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, sums, pa.array(spans, pa.string())], names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
+        common.trim()
 
     schema = ", ".join(["doc_id long", *[f"n_{k} long" for k in KINDS], "base_sha256 string", "spans string"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
