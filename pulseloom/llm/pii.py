@@ -2,14 +2,14 @@
 
 Four base patterns (e-mail, IP address, card, phone) always count. High-recall generators propose further, overlapping
 spans: addresses written with "at" and "dot" in words, brackets or blanks, and every stretch of a run of digits, from one
-group's start to another's end, that has a fitting number of digits. Gradient-boosted trees over format and context features
+group's start to another's end, that has a fitting number of digits in a few groups (and, for a card, a valid checksum). Gradient-boosted trees over format and context features
 score each candidate.
 
 They are trained on examples, whatever the size of the table: made-up entities (seeded, `ENTITIES` of each kind) and the
 base spans of a bounded sample of documents (some `SAMPLE_ROWS`, the first `SAMPLE_CHARS` characters of each, chosen by
 a hash of the row) are written in other forms and set into neutral sentences and into places of the sample. Negatives are
 made-up decoys (dates, versions, order numbers, large numbers, places on the web) and those candidates of the sample that
-cannot be what their kind says (parts of longer runs, wrong checksums, dates); all others might be personal data and teach
+cannot be what their kind says (parts of longer runs, dates, bare digits); all others might be personal data and teach
 nothing. Calibration uses forms, decoys and documents that training has not seen: a logistic fit gives probabilities, and each kind gets the lowest
 threshold that reaches `PRECISION` there. Chosen spans that overlap neither a base span nor a better candidate are
 added. Prediction reads whole texts, some `GATHER` candidates at a time.
@@ -98,8 +98,8 @@ _HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.|\s?[(\[{](?:dot|\.)[)\]}]\s?|\s(
 _RUN = re.compile(r"[0-9]+(?:[\x20\t./()_\u2013-]{1,2}[0-9]+)*")
 _GROUP = re.compile(r"[0-9]+")
 _WRITTEN_IP = re.compile(r"[0-9]{1,3}(?:(?:\s?[(\[{](?:dot|\.)[)\]}]\s?|\s(?:dot|\.)\s)[0-9]{1,3}){3}", re.I)
-#: A whole phone number, a card number: least and most digits.
-_PHONE_DIGITS, _CARD_DIGITS = (7, 15), (13, 19)
+#: A phone number, a card number: least and most digits; groups that either has at most.
+_PHONE_DIGITS, _CARD_DIGITS, _GROUPS = (7, 15), (13, 19), 6
 
 #: A proposed span, with the digits of its run before and after it.
 Candidate = tuple[Span, int, int]
@@ -129,13 +129,13 @@ def _stretches(text: str, groups: list[tuple[int, int]]) -> Iterator[Candidate]:
     before, total = 0, sum(b - a for a, b in groups)
     for i, (first, end) in enumerate(groups):
         digits = 0
-        for a, b in groups[i:]:
+        for a, b in groups[i : i + _GROUPS]:
             digits += b - a
             if digits > _CARD_DIGITS[1]:
                 break
             # With the bracket that opens before a bracketed first group.
             start = first - (first > 0 and text[first - 1] == "(" and ")" in text[first:b])
-            if _CARD_DIGITS[0] <= digits:
+            if _CARD_DIGITS[0] <= digits and luhn(_NOT_DIGIT.sub("", text[first:b])):
                 yield (start, b, "card"), before, total - before - digits
             if _PHONE_DIGITS[0] <= digits <= _PHONE_DIGITS[1]:
                 yield (start, b, "phone"), before, total - before - digits
@@ -350,8 +350,6 @@ def _surely_other(text: str, candidate: Candidate) -> bool:
         return any(int(g) > 255 for g in _GROUP.findall(s))
     if run_before + run_after > 0:
         return True
-    if kind == "card":
-        return not luhn(_NOT_DIGIT.sub("", s))
     return s.isdigit() or bool(_DATE.search(s))
 
 

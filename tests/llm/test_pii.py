@@ -124,7 +124,7 @@ def test_two_numbers_side_by_side_and_ties():
     spans = {(a, b) for (a, b, kind), _, _ in pii.candidates(text) if kind == "phone"}
     assert {(4, 17), (18, 31), (32, 45)} <= spans
     assert pii.added([(0.9, (4, 9, "phone")), (0.9, (0, 5, "phone")), (0.9, (0, 5, "card"))], []) == [(0, 5, "card")]
-    assert len(judge.choose(["1 2 3 4 5 6 7 8 9 " * 30_000], [[]])[0]) >= 0  # many candidates, a part at a time
+    assert judge.choose(["12 34 56 78 " * 10_000], [[]]) == [[]]  # many candidates in one run, a part at a time
 
 
 def test_sample_counts_equal_rows_once(spark):
