@@ -1,21 +1,24 @@
 """Exact duplicates: binary-fuse filters over immutable snapshots screen incoming digests.
 
 Rows are dealt into ingest batches. Within a batch equal digests are grouped first, map-side, so a text that a third of
-all rows share is one row from then on. Each earlier batch is an immutable snapshot: its distinct digests are cut into
-shards of bounded size and each shard gets a static binary-fuse filter. An incoming digest that every filter rejects is
-new; a positive joins the exact bucket of its digest. Rows of buckets with several rows are then compared byte by byte:
+all rows share is one row from then on. What is new in a batch becomes an immutable snapshot: its distinct digests are cut
+into shards of bounded size, each shard gets a static binary-fuse filter, and neither digests nor filters are touched
+again. An incoming digest that the filters of all snapshots reject is new; a positive joins the exact bucket of its digest in
+that snapshot. Filters are as large as a byte for each digest of the corpus, so they are never sent to every task: the
+incoming digests, 40 bytes each, go to their shard. Rows of buckets with several rows are then compared byte by byte:
 the smallest and the largest normalised text of a bucket must be the same string, which partial aggregation settles
 without gathering the group. A bucket whose texts differ is cut up by the texts themselves.
 
 Defined cases: a null text counts as empty; empty and all-blank texts are equal; a null doc_id is a document like any
 other and sorts before all others; of repeated rows (same doc_id and text) all point to the same keep_id and all are
 marked kept, as the row that stays is one of them (`deduplicate` returns just one); an empty table gives an empty
-result; extra columns are ignored here and carried along by `deduplicate`.
+result; extra columns are ignored here and carried along by `deduplicate`, whatever their names. Where several rows of a
+group are alike in doc_id and size, `deduplicate` keeps the one whose other columns sort first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -53,16 +56,34 @@ def build_filters(digests: DataFrame, n_shards: int) -> DataFrame:
     return _shards(digests, n_shards).select("shard", "key").groupBy("shard").applyInPandas(build, "shard long, filter binary")
 
 
-def screen(digests: DataFrame, filters: DataFrame, n_shards: int) -> DataFrame:
-    """The digests that a snapshot's filters do not reject: all that it holds, and about one in 256 of the others."""
+@dataclass(frozen=True)
+class Snapshot:
+    """What was new in one batch: written once, with its filters, and only read from then on."""
 
-    def probe(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(found):
-            return rows[["digest"]].iloc[:0]
-        keys = rows["key"].to_numpy().astype(np.int64).view(np.uint64)
-        return rows.loc[BinaryFuse.from_bytes(found["filter"].iloc[0]).contains(keys), ["digest"]]
+    groups: DataFrame
+    filters: DataFrame
+    shards: int
 
-    return _shards(digests, n_shards).groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(probe, "digest binary")
+    @classmethod
+    def publish(cls, groups: DataFrame) -> Snapshot:
+        groups = common.materialize(groups, "dedup-snapshot")
+        shards = max(1, -(-groups.count() // SHARD_KEYS))
+        return cls(groups, common.materialize(build_filters(groups.select("digest"), shards), "dedup-filters"), shards)
+
+    def screen(self, digests: DataFrame) -> DataFrame:
+        """The digests that the filters do not reject: all that the snapshot holds, and about one in 256 of the others."""
+
+        def probe(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows) or not len(found):
+                return rows[["digest"]].iloc[:0]
+            keys = rows["key"].to_numpy().astype(np.int64).view(np.uint64)
+            return rows.loc[BinaryFuse.from_bytes(found["filter"].iloc[0]).contains(keys), ["digest"]]
+
+        return _shards(digests, self.shards).groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(probe, "digest binary")
+
+    def known(self, digests: DataFrame) -> DataFrame:
+        """The digests that the snapshot holds: positives meet its exact buckets, a false one finds none there."""
+        return self.screen(digests).join(self.groups.select("digest"), "digest", "left_semi")
 
 
 #: A row's place among its equals as one number, so that hash aggregation finds the first: code points from many to few,
@@ -92,19 +113,30 @@ def _groups(rows: DataFrame) -> DataFrame:
 
 def _merge(rows: DataFrame, batches: int) -> DataFrame:
     """Groups over all batches: each batch's distinct digests are screened by the filters of the snapshots before it."""
-    known = common.materialize(_groups(rows.where("batch = 0")), "dedup-groups")
+    snapshots, again, last = [Snapshot.publish(_groups(rows.where("batch = 0")))], [], []
     for b in range(1, batches):
         incoming = common.materialize(_groups(rows.where(F.col("batch") == b)), "dedup-groups")
-        shards = max(1, -(-max(known.count(), incoming.count()) // SHARD_KEYS))
-        filters = build_filters(known.select("digest"), shards)
-        positive = common.materialize(screen(incoming.select("digest"), filters, shards), "dedup-positive")
-        # Positives meet the exact buckets; a filter's false positive finds none there and stays new.
-        matched = positive.join(known.select("digest"), "digest", "left_semi")
-        old = known.join(matched, "digest", "left_semi").unionByName(incoming.join(matched, "digest", "left_semi"))
-        both = old.groupBy("digest").agg(F.sum("n").alias("n"), F.min("best").alias("best"))
-        fresh = known.join(matched, "digest", "left_anti").unionByName(incoming.join(matched, "digest", "left_anti"))
-        known = common.materialize(fresh.unionByName(both), "dedup-groups")
-    return known
+        known = [s.known(incoming.select("digest")) for s in snapshots]
+        known = common.materialize(_union(known), "dedup-known")  # a digest is in one snapshot only
+        again.append(incoming.join(known, "digest", "left_semi"))
+        fresh = incoming.join(known, "digest", "left_anti")
+        if b < batches - 1:
+            snapshots.append(Snapshot.publish(fresh))
+        else:
+            last.append(fresh)
+    first = _union([s.groups for s in snapshots] + last)
+    if not again:
+        return first
+    more = common.materialize(_union(again).groupBy("digest").agg(F.sum("n").alias("n"), F.min("best").alias("best")), "dedup-again")
+    both = first.join(more.select("digest"), "digest", "left_semi").unionByName(more).groupBy("digest").agg(F.sum("n").alias("n"), F.min("best").alias("best"))
+    return common.materialize(first.join(more.select("digest"), "digest", "left_anti").unionByName(both), "dedup-groups")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def exact_duplicates(docs: DataFrame, batches: int = BATCHES, digest=sha256) -> DataFrame:
@@ -140,14 +172,17 @@ def deduplicate(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """The rows of `docs` that stay, one of each group, with all their columns."""
     found = common.materialize(exact_duplicates(docs, batches).select("doc_id", "digest", "chars", "kept"), "dedup-found")
     # With the code points, as rows of one doc_id or of none may be variants of one text: only what is not kept goes.
-    drop = found.where("not kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("chars").alias("_chars")).distinct()
-    keyed = docs.withColumn("_norm_digest", sha256(normalised(F.col("text"))))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_norm_digest") == F.col("_digest")) & (F.char_length(F.coalesce("text", F.lit(""))) == F.col("_chars"))
+    drop = found.where("not kept").select("doc_id", "digest", "chars").distinct()
+    # `k_` stands before the names carried along, so that none can clash.
+    keyed = docs.select(*[F.col(c).alias(f"k_{c}") for c in docs.columns]).withColumn("digest", sha256(normalised(F.col("k_text"))))
+    keyed = keyed.withColumn("chars", F.char_length(F.coalesce("k_text", F.lit(""))))
+    on = F.col("k_doc_id").eqNullSafe(F.col("doc_id")) & (keyed["digest"] == drop["digest"]) & (keyed["chars"] == drop["chars"])
     stay = keyed.join(common.small(drop, drop.count()), on, "left_anti")
     one = found.agg(F.sum(F.col("kept").cast("long")).alias("k"), F.count_distinct("digest").alias("d")).first()
+    names = [f"k_{c}" for c in docs.columns]
     if one["k"] and one["k"] > one["d"]:  # the same row several times over, or variants of one length under one doc_id
-        stay = stay.dropDuplicates(["_norm_digest"])
-    return stay.drop("_norm_digest")
+        stay = stay.groupBy("digest").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+    return stay.select(*[F.col(f"k_{c}").alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

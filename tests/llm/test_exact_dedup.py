@@ -78,3 +78,23 @@ def test_places_hold_all_ids(spark):
     got = back.orderBy("p").collect()
     assert all(r.i == r.doc_id and r.c == r.chars for r in got)
     assert [(r.chars, r.doc_id) for r in got] == sorted(((r.chars, r.doc_id) for r in got), key=lambda x: (-x[0], x[1] is not None, x[1] or 0))
+
+
+def test_deduplicate_with_clashing_names(spark):
+    names = ["doc_id", "text", "_id", "_digest", "_chars", "_norm_digest", "digest", "chars", "kept", "k_text", "n", "best"]
+    rows = [(1, "a b", *range(10)), (2, "ab", *range(10)), (None, None, *range(10)), (None, None, *range(10)), (3, "x" * 2_000_000, *range(10)), (5, "t", *range(1, 11)), (5, "t", *range(10))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} long" for c in names[2:]))
+    stay = exact_dedup.deduplicate(docs)
+    assert stay.columns == docs.columns
+    got = sorted((tuple(r) for r in stay.collect()), key=lambda r: r[0] or 0)
+    assert got == [rows[2], rows[0], rows[4], rows[6]]  # of two rows alike, the one whose other columns sort first
+
+
+def test_a_snapshot_screens_and_stays_as_it_is(spark):
+    digests = lambda a, b: spark.range(a, b).select(F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("digest"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("decimal(38,0)").alias("best"))
+    made = exact_dedup.Snapshot.publish(digests(0, 5000))
+    positive = made.screen(digests(2500, 7500).select("digest"))
+    n = positive.count()
+    assert 2500 <= n <= 2600
+    assert made.known(digests(2500, 7500).select("digest")).count() == 2500
+    assert made.groups.count() == 5000 and made.filters.count() == made.shards == 1
