@@ -8,6 +8,7 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,9 +59,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out.pulseloom_path = path
+    if _scratches:
+        _scratches[-1].append(out)
     return out
 
 
+_scratches: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Discard on leaving all tables materialised within, but those handed to the function given."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scratches.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scratches.pop()
+        paths = {df.pulseloom_path for df in kept}
+        for df in made:
+            if df.pulseloom_path not in paths:
+                discard(df)
+            elif _scratches:
+                _scratches[-1].append(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised result that no later step reads."""
     spark = df.sparkSession
@@ -91,6 +120,47 @@ def chance(*key: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*key), 11) / float(1 << 53)
 
 
+def row_key(text: Column) -> Column:
+    """128 bits of a text, to tell apart rows of one doc_id, or of none."""
+    return F.unhex(F.md5(F.coalesce(text.cast("binary"), F.lit(b""))))
+
+
+def merge_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text, row_key, copies) with rows alike in doc_id and text as one, and (doc_id, row_key, copies) of the
+    repeated ones, None where there are none.
+
+    Text is binary and never null. Only keys are counted, so a table without repeated rows is not shuffled; however many
+    copies a row has, they are merged before the shuffle.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), row_key(F.col("text")).alias("row_key"))
+    counts = rows.groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    counts = materialize(counts, "copies")
+    n = counts.count()
+    if not n:
+        return rows.withColumn("copies", F.lit(1).cast("long")), None
+    once = rows.groupBy("doc_id", "row_key").agg(F.min("text").alias("text"))
+    found = small(counts.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "copies"), n)
+    once = once.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left")
+    return once.select("doc_id", "text", "row_key", F.coalesce("copies", F.lit(1)).cast("long").alias("copies")), counts
+
+
+#: Copies of a row that one task writes.
+_SPREAD = 100_000
+
+
+def spread_copies(rows: DataFrame, counts: DataFrame | None) -> DataFrame:
+    """`rows` (doc_id, row_key, more) with as many copies of each as `merge_copies` merged."""
+    if counts is None:
+        return rows
+    names = rows.columns
+    found = small(counts.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("copies").alias("_copies")), counts.count())
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+    rows = rows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / _SPREAD))))
+    here = F.least(F.lit(_SPREAD), F.col("_copies") - F.col("_part") * _SPREAD)
+    many = rows.withColumn("_here", here)
+    return many.withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("_here").cast("int")))).select(*names)
+
+
 def crc32_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 

@@ -14,7 +14,8 @@ order for all documents alike. A prefix shingle that one document holds meets no
 Documents with equal sets are one node. Nodes that share prefix shingles are not paired with each other at once: in each
 posting list every node meets one hub first, best shared first, and verified links join them to components. Only lists
 that still hold several components go on, with other hubs, until what is left is paired whole, between components.
-No pair within a component is made, so a group of g near copies costs about g verifications. The first hub of a list is
+No pair within a component is made, so a group of g near copies costs about g verifications. What is paired whole is cut
+into bands of size, as similar sets differ little in it, and long lists into parts that go to tasks of their own. The first hub of a list is
 its most typical document, the one with the smallest share of shingles of its own. Those bound a pair: two sets cannot
 share what only one of them holds, so sizes and own shingles give a highest possible similarity, and what both share with
 a common hub lowers it further; copies that were edited apart are thus not paired although they share most of their
@@ -23,13 +24,16 @@ whole shingle sets, so every link stands and none between different components i
 
 Defined cases: a null text, or one without words, has no shingles and is linked with nothing; with fewer words than a
 shingle the whole sequence is one; repeated rows and equal texts are linked; a null doc_id takes part, and a component
-of such rows alone has a null component_id; an empty table gives an empty result; extra columns are ignored here and
-carried along by `representatives`.
+of such rows alone has a null component_id; rows alike in doc_id and text are merged before all else and come back as often
+as they were; a very long text is cut into shingles `SEGMENT` bytes at a time; an empty table gives an empty result; extra
+columns are ignored here and carried along by `representatives`, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,14 +43,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays, common
-from .components import connected
+from .components import extended
 
 #: Bytes of text in a block and for each task that sums frequencies; blocks whose arrays one task sums.
 BLOCK_BYTES, TASK_BYTES, SALT_BLOCKS = 8_000_000, 16_000_000, 128
 #: The longest multi-match, and what a verification costs against a posting, by shingles of the document.
 MOST_MATCHES, VERIFY = 4, 0.1
-#: Rounds of hubs before the rest is paired whole.
-ROUNDS = 2
+#: Rounds of hubs before the rest is paired whole, and postings of one list and band that a task pairs with the others.
+ROUNDS, PART = 2, 5_000
+#: Bytes of a text whose shingles are made at a time.
+SEGMENT = 4_000_000
 
 
 def _splitmix(n: int) -> np.ndarray:
@@ -76,9 +82,28 @@ def _power(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
-def shingles(text: bytes | None, width: int) -> np.ndarray:
-    """The distinct word shingles of a text as 64-bit hashes, sorted: polynomials of their bytes, mixed."""
-    words = (text or b"").lower().split()
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def shingles(text: bytes | None, width: int, segment: int = SEGMENT) -> np.ndarray:
+    """The distinct word shingles of a text as 64-bit hashes, sorted."""
+    text = text or b""
+    if len(text) <= segment:
+        return np.unique(_hashes(text.lower().split(), width))
+    found, words, at = np.zeros(0, np.uint64), [], 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + segment)
+        end = blank.start() if blank else len(text)
+        words += text[at:end].lower().split()
+        at = end
+        if len(words) >= width:
+            found = np.unique(np.concatenate([found, _hashes(words, width)]))
+            words = words[len(words) - width + 1 :]
+    return found if len(found) else np.unique(_hashes(words, width))
+
+
+def _hashes(words: list[bytes], width: int) -> np.ndarray:
+    """Of every shingle: polynomials of their bytes, mixed."""
     if not words:
         return np.zeros(0, np.uint64)
     data = np.frombuffer(b" ".join(words), np.uint8)
@@ -91,18 +116,14 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
         h = (sums[last] - sums[first]) * _power(_UNBASE, len(data))[first]
         h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
         h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return np.unique(h ^ (h >> np.uint64(33)))
+    return h ^ (h >> np.uint64(33))
 
 
 def identity(found: np.ndarray) -> bytes:
-    """A digest of a whole set."""
+    """A digest of a whole set, which is the node of all documents with that set."""
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
-def node(key: Column) -> Column:
-    return F.xxhash64(key)
-
-
 def prefix(found: np.ndarray, frequency: np.ndarray, num: int, den: int) -> tuple[int, np.ndarray]:
     """A document's number of matches and the prefix shingles that other documents hold too."""
     n = len(found)
@@ -173,22 +194,18 @@ def _edges(tasks: int, bits: int) -> np.ndarray:
     return np.array([(k << bits) // tasks for k in range(1, tasks)], np.int64)
 
 
-def _row_key() -> Column:
-    """Tells apart rows of one doc_id, or of none."""
-    return F.xxhash64(F.col("text").cast("binary"))
-
-
-def prefixes(docs: DataFrame, width: int, num: int, den: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, row_key, n, own, key, matches, prefix) of every document; `own` counts the shingles that no other document holds."""
-    common.arrow_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), _row_key().alias("row_key"))
+def prefixes(rows: DataFrame, width: int, num: int, den: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, row_key, n, own, node, matches, prefix) of every row (doc_id, text, row_key); `own` counts the shingles that no
+    other row holds."""
+    common.arrow_batches(rows.sparkSession)
+    rows = rows.select("doc_id", "text", "row_key")
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n_blocks, tasks = max(12, -(-size // block_bytes)), max(12, -(-size // TASK_BYTES))
     bits = min(62, max(24, (size // 6 * 64).bit_length()))
     salts = -(-n_blocks // SALT_BLOCKS)
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_blocks))).repartition(n_blocks, "block")
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(n_blocks))).repartition(n_blocks, "block")
     back = common.materialize(_frequencies(blocks, width, tasks, bits, salts), "join-frequencies")
-    common.release(docs.sparkSession)
+    common.release(rows.sparkSession)
     shift = np.uint64(64 - bits)
 
     def run(key, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
@@ -205,30 +222,28 @@ def prefixes(docs: DataFrame, width: int, num: int, den: int, block_bytes: int =
             matches, first = prefix(s, frequency[np.searchsorted(codes, cut)].astype(np.int64), num, den) if len(s) else (0, s)
             own = int(np.count_nonzero(frequency[np.searchsorted(codes, cut)] == 1)) if len(s) else 0
             out.append((len(s), own, identity(s), matches, first.view(np.int64)))
-        made = pd.DataFrame(out, columns=["n", "own", "key", "matches", "prefix"])
+        made = pd.DataFrame(out, columns=["n", "own", "node", "matches", "prefix"])
         made.insert(0, "doc_id", texts["doc_id"].to_numpy())
         made.insert(1, "row_key", texts["row_key"].to_numpy())
         del sets, distinct, codes, known, frequency, out
         common.trim()
         return made.astype({"doc_id": "Int64"})
 
-    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(run, "doc_id long, row_key long, n long, own long, key binary, matches int, prefix array<long>")
+    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(run, "doc_id long, row_key binary, n long, own long, node binary, matches int, prefix array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, width: int) -> DataFrame:
-    """(node, shingles) of the wanted (node, doc_id)."""
-    ids = common.small(wanted.select(F.col("doc_id").alias("_id")).distinct(), n_wanted)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+def _sets(rows: DataFrame, wanted: DataFrame, n_wanted: int, width: int) -> DataFrame:
+    """(node, shingles) of the wanted (doc_id, row_key)."""
+    ids = common.small(wanted.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")), n_wanted)
+    rows = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py(), width) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
         common.trim()
 
-    sets = rows.mapInArrow(run, "key binary, shingles array<long>").withColumn("node", node(F.col("key")))
-    return sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return rows.mapInArrow(run, "node binary, shingles array<long>")
 
 
 def _fits(a: str, b: str, num: int, den: int) -> Column:
@@ -250,66 +265,97 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.select("a", "b", "shared", (F.col("shared") * den >= (F.col("na") + F.col("nb") - F.col("shared")) * num).alias("linked"))
 
 
-def _open_lists(posted: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+def _open_lists(posted: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
     """The postings of lists that hold several components, with the list's hub."""
-    placed = posted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = posted.withColumn("label", F.col("node")) if labels is None else posted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     order = F.struct((F.col("own") / F.col("n") if turn == 0 else F.lit(0.0)).alias("own_share"), F.xxhash64(F.lit(turn), "node").alias("h"))
     lists = placed.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct(F.col("node").alias("hub"), F.col("label").alias("hub_label")), order).alias("first"))
     return common.materialize(placed.join(lists.where("low <> high").select("shingle", "first.*"), "shingle"), "join-open")
 
 
+def _hub_pairs(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each node with the hub that it shares most lists with, and those as pairs (a, b)."""
+    best = open_.where("label <> hub_label").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("s"))
+    best = common.materialize(best.groupBy("node").agg(F.max_by("hub", F.struct("s", "hub")).alias("hub")), "join-hubs")
+    return best, best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+_POSTED = ("node", "n", "own", "near", "with_hub", "matches", "label", "all")
+
+
+def _all_pairs(posted: DataFrame, open_: DataFrame, num: int, den: int, part: int) -> DataFrame:
+    """(a, b) of the candidates in the open lists, between components.
+
+    The larger of two similar sets has at most den / num times the shingles of the smaller, so it lies in its band of size or
+    the next; the smaller ones of a list and band are dealt into parts, each of which meets the larger ones in a task of
+    its own.
+    """
+    lists = posted.groupBy("node").agg(F.collect_list("shingle").alias("all"))
+    band = F.floor(F.log(F.col("n").cast("double")) / (1.001 * math.log(den / num))).cast("int") if den > num else F.lit(0)
+    rest = common.materialize(open_.join(lists, "node").withColumn("band", band), "join-rest")
+    parts = rest.groupBy("shingle", "band").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
+    one = rest.join(parts, ["shingle", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    two = rest.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).join(parts, ["shingle", "band"])
+    two = two.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    one = one.select("shingle", "band", "part", *[F.col(c).alias(f"{c}1") for c in _POSTED])
+    two = two.select(*[F.col(c).alias(f"{c}_") for c in ("shingle", "band", "part")], *[F.col(c).alias(f"{c}2") for c in _POSTED])
+    # Each pair comes out of its first shared list only, and with enough shared shingles.
+    both = F.array_intersect("all1", "all2")
+    on = (F.col("shingle") == F.col("shingle_")) & (F.col("band") == F.col("band_")) & (F.col("part") == F.col("part_"))
+    on = on & (F.struct("n1", "node1") < F.struct(F.col("n2").alias("n1"), F.col("node2").alias("node1"))) & (F.col("label1") != F.col("label2"))
+    on = on & _fits("1", "2", num, den) & (F.array_min(both) == F.col("shingle")) & (F.size(both) >= F.least("matches1", "matches2"))
+    return one.join(two, on).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
+
+
 def components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id and row_key of every document."""
     spark = docs.sparkSession
-    found = common.materialize(prefixes(docs, width, num, den), "join-prefixes")
-    common.release(spark)
-    classes = found.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("own").alias("own"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
-    classes = common.materialize(classes.withColumn("node", node(F.col("key"))), "join-classes")
-    posted = classes.select("node", "doc_id", "n", "own", "matches", F.explode("prefix").alias("shingle"))
-    shared = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle")
-    posted = common.materialize(posted.join(shared, "shingle", "left_semi"), "join-posted")
-    wanted = common.materialize(posted.select("node", "doc_id").distinct(), "join-wanted")
-    posted = posted.drop("doc_id")
-    sets = common.materialize(_sets(docs, wanted, wanted.count(), width), "join-sets")
-    common.release(spark)
-
-    tested = spark.createDataFrame([], "a long, b long, shared int, linked boolean")
-    labels = spark.createDataFrame([], "node long, label long")
-    for turn in range(ROUNDS + 1):
-        open_ = _open_lists(posted, labels, turn)
-        if not open_.limit(1).count():
-            break
-        if turn < ROUNDS:
-            best = open_.where("label <> hub_label").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("s"))
-            best = common.materialize(best.groupBy("node").agg(F.max_by("hub", F.struct("s", "hub")).alias("hub")), "join-hubs")
-            pairs = best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        else:
-            # Each pair comes out of its first shared list only, and with enough shared shingles.
-            lists = posted.groupBy("node").agg(F.collect_list("shingle").alias("all"))
-            rest = common.materialize(open_.join(lists, "node"), "join-rest")
-            one, two = ([F.col(c).alias(f"{c}{k}") for c in ("node", "n", "own", "near", "with_hub", "matches", "label", "all")] for k in (1, 2))
-            one, two = rest.select("shingle", *one), rest.select(F.col("shingle").alias("shingle2"), *two)
-            both = F.array_intersect("all1", "all2")
-            on = (F.col("shingle") == F.col("shingle2")) & (F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & _fits("1", "2", num, den)
-            on = on & (F.array_min(both) == F.col("shingle")) & (F.size(both) >= F.least("matches1", "matches2"))
-            pairs = one.join(two, on).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
-        pairs = pairs.select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        new = common.materialize(_verified(pairs, sets, num, den), "join-verified")
-        tested = tested.unionByName(new)
-        if turn == 0:  # each node with the hub it met; one that met none is its own
-            met = best.join(new, (F.least("node", "hub") == F.col("a")) & (F.greatest("node", "hub") == F.col("b"))).select("node", F.col("hub").alias("near"), F.col("shared").alias("with_hub"))
-            posted = posted.join(met, "node", "left").withColumn("with_hub", F.coalesce("with_hub", "n")).withColumn("near", F.coalesce("near", "node"))
-            posted = common.materialize(posted, "join-posted")
-        if new.where("linked").limit(1).count():
-            labels = connected(tested.where("linked").select("a", "b"))
+    rows, copies = common.merge_copies(docs)
+    with common.scratch() as keep:
+        with common.scratch() as keep_prefixes:
+            found = keep_prefixes(common.materialize(prefixes(rows, width, num, den), "join-prefixes"))
+        keep(found)
+        common.release(spark)
+        first = F.min(F.struct("doc_id", "row_key")).alias("first")  # a row to read the set from, be its doc_id null
+        classes = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), first, F.first("n").alias("n"), F.min("own").alias("own"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
+        classes = common.materialize(classes, "join-classes")
+        posted = classes.select("node", "n", "own", "matches", F.explode("prefix").alias("shingle"))
+        shared = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle")
+        posted = common.materialize(posted.join(shared, "shingle", "left_semi"), "join-posted")
+        wanted = common.materialize(classes.join(posted.select("node").distinct(), "node", "left_semi").select("first.doc_id", "first.row_key"), "join-wanted")
+        sets = common.materialize(_sets(rows, wanted, wanted.count(), width), "join-sets")
         common.release(spark)
 
-    of = classes.select("key", "doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    of = common.materialize(of.select("key", "doc_id", "label"), "join-labels")
-    least = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of = of.select("key", "label").join(least, "label").select("key", "component_id")
-    out = found.select("doc_id", "row_key", "n", "key").join(of, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key")
+        tested, labels = None, None
+        for turn in range(ROUNDS + 1):
+            with common.scratch() as keep_turn:
+                open_ = _open_lists(posted, labels, turn)
+                if not open_.limit(1).count():
+                    break
+                if turn < ROUNDS:
+                    best, pairs = _hub_pairs(open_)
+                else:
+                    pairs = _all_pairs(posted, open_, num, den, PART)
+                if tested is not None:
+                    pairs = pairs.join(tested, ["a", "b"], "left_anti")
+                new = keep_turn(common.materialize(_verified(pairs, sets, num, den), "join-verified"))
+                tested = new.select("a", "b") if tested is None else tested.unionByName(new.select("a", "b"))
+                if turn == 0:  # each node with the hub it met; one that met none is its own
+                    met = best.join(new, (F.least("node", "hub") == F.col("a")) & (F.greatest("node", "hub") == F.col("b"))).select("node", F.col("hub").alias("near"), F.col("shared").alias("with_hub"))
+                    posted = posted.join(met, "node", "left").withColumn("with_hub", F.coalesce("with_hub", "n")).withColumn("near", F.coalesce("near", "node"))
+                    posted = keep_turn(common.materialize(posted, "join-posted"))
+                links = new.where("linked").select("a", "b")
+                if links.limit(1).count():
+                    labels = keep_turn(common.materialize(extended(labels, links), "join-labels"))
+                common.release(spark)
+
+        of = classes.select("node", "doc_id")
+        of = of.withColumn("label", F.col("node")) if labels is None else of.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        least = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+        of = keep(common.materialize(of.join(least, "label").select("node", "component_id"), "join-components"))
+    out = found.select("doc_id", "row_key", "n", "node").join(of, "node", "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key")
+    return common.spread_copies(out, copies)
 
 
 def representatives(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -318,9 +364,12 @@ def representatives(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     Rows with one doc_id but different texts are judged each on its own; a component without any doc_id stays whole.
     """
     out = common.materialize(components(docs, width, num, den).select("doc_id", "component_id", "row_key"), "join-found")
-    drop = out.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_row")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (_row_key() == F.col("_row"))
-    return docs.join(common.small(drop, drop.count()), on, "left_anti")
+    drop = out.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "row_key").distinct()
+    # `k_` stands before the names carried along, so that none can clash.
+    keyed = docs.select(*[F.col(c).alias(f"k_{c}") for c in docs.columns])
+    on = F.col("k_doc_id").eqNullSafe(F.col("doc_id")) & (common.row_key(F.col("k_text")) == F.col("row_key"))
+    stay = keyed.join(common.small(drop, drop.count()), on, "left_anti")
+    return stay.select(*[F.col(f"k_{c}").alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pulseloom.llm import components, jaccard_join
+from pulseloom.llm import common, components, jaccard_join
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long"
 
@@ -88,6 +88,7 @@ def test_small_blocks_and_rounds_of_hubs(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 500)
     monkeypatch.setattr(jaccard_join, "SALT_BLOCKS", 16)
     monkeypatch.setattr(jaccard_join, "ROUNDS", 4)
+    monkeypatch.setattr(jaccard_join, "PART", 2)
     docs = spark.createDataFrame([(i, t, None, "s", 0, 7) for i, t in rows], SCHEMA)
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.components(docs, 4, 85, 100).collect()]
     assert sorted(got, key=str) == brute(rows, 4, 85, 100)
@@ -119,3 +120,34 @@ def test_connected_follows_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (400, 450)], "a long, b long")
     got = {r.node: r.label for r in components.connected(links).collect()}
     assert got == {i: 0 for i in range(201)} | {400: 400, 450: 400, 500: 400}
+
+
+def test_labels_go_on_from_those_before(spark):
+    frame = lambda links: spark.createDataFrame(links, "a long, b long")
+    before = components.connected(frame([(1, 2), (5, 6), (8, 9)]))
+    got = {r.node: r.label for r in components.extended(before, frame([(2, 6), (9, 20), (30, 31), (1, 2)])).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8, 20: 8, 30: 30, 31: 30}
+
+
+def test_a_third_of_all_rows_alike(spark, monkeypatch):
+    monkeypatch.setattr(common, "_SPREAD", 7)
+    rows = [(None, "one hot row of seven words here")] * 200 + [(4, "one hot row of seven words here")] * 150 + corpus(5)
+    docs = spark.createDataFrame([(i, t, None, "s", 0, 7) for i, t in rows], SCHEMA)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.components(docs, 4, 85, 100).collect()]
+    assert sorted(got, key=str) == brute(rows, 4, 85, 100)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "cc", " ", "\n ", "  "]), max_size=60).map("".join), st.integers(1, 5), st.integers(1, 9))
+def test_segments_make_the_same_shingles(text, width, segment):
+    assert jaccard_join.shingles(text.encode(), width, segment).tolist() == jaccard_join.shingles(text.encode(), width).tolist()
+
+
+def test_clashing_names_and_a_very_long_text(spark):
+    names = ["_id", "_row", "_key", "_copies", "row_key", "node", "k_text", "component_id"]
+    long = " ".join(f"w{i % 50_000}" for i in range(1_800_000))  # 10 MB
+    rows = [(1, long, *range(8)), (2, long + " end", *range(8)), (3, "a b c d e f", *range(8)), (3, "a b c d e f", *range(8)), (None, None, *range(8))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} long" for c in names))
+    stay = jaccard_join.representatives(docs)
+    assert stay.columns == docs.columns
+    assert sorted(((r.doc_id, len(r.text or "")) for r in stay.collect()), key=str) == sorted([(1, len(long)), (3, 11), (3, 11), (None, 0)], key=str)
