@@ -69,7 +69,14 @@ class Distinct:
         self.size = 0
         self.runs: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
 
-    def add(self, codes: np.ndarray, counted: bool = True) -> None:
+    def add(self, codes: np.ndarray, counted: bool = True, times: int = 1) -> None:
+        """Take in codes, as counted ones `times` times each."""
+        if counted and times > 1:
+            codes, n = np.unique(codes, return_counts=True)
+            self.runs.append((codes, n * times))
+            if len(self.runs) >= self.RUNS:
+                self.runs = [_merged(self.runs)]
+            return
         self.fresh[counted].append(codes)
         self.size += len(codes)
         if self.size >= self.GATHER:

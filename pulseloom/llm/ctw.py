@@ -12,13 +12,17 @@ probabilities return to each block as arrays in its own order and the whole text
 arrays are first summed over salted sets of blocks, so that no task meets those of all blocks. No table of grams or words
 is sent to every executor, and what is gathered grows with the corpus.
 
+The chances of grams travel back as 32-bit floats, half of what doubles take of the shuffle; each is rounded by less than
+one in 10^7, and they are added up as doubles. Beside the score stands the code length in bits for each byte coded.
+
 Defined cases: null counts as empty; an empty text is the end token alone; without training rows all counts are zero;
-a null doc_id is never held out; repeated rows count and score each on its own; an empty table gives an empty result;
-extra columns are ignored.
+a null doc_id is never held out; repeated rows count and score each on its own, though they are merged before all else; a
+very long text is coded `SEGMENT` bytes at a time; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
@@ -41,17 +45,39 @@ END = 10
 #: Bytes of text for each task that sums and weights grams, and blocks whose arrays one task sums.
 TASK_BYTES, SALT_BLOCKS = 16_000_000, 64
 
+#: Bytes of a text that are coded at a time.
+SEGMENT = 2_000_000
+
 GRAMS, WORDS = 0, 1
 
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
 
 def folded(text: bytes | None) -> list[bytes]:
     """Words of a text; bytes.lower() and bytes.split() know ASCII only."""
     return (text or b"").lower().split()
 
 
-def grams(words: list[bytes]) -> np.ndarray:
-    """For each byte of the coded text the DEPTH bytes before it (zeros before the start) and itself."""
-    data = np.frombuffer(bytes(DEPTH) + b" ".join(words) + bytes([END]), np.uint8).astype(np.uint64)
+def coded(text: bytes | None, segment: int = SEGMENT) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """(words, grams) of a text, a segment at a time: together the words and the grams of its coded bytes."""
+    text, at, before, begun = text or b"", 0, bytes(DEPTH), False
+    while True:
+        blank = _BLANK.search(text, at + segment) if len(text) - at > segment else None
+        stop = blank.start() if blank else len(text)
+        words, last = folded(text[at:stop]), stop >= len(text)
+        data = (b" " if begun and words else b"") + b" ".join(words) + (bytes([END]) if last else b"")
+        for a in range(0, len(data), segment + 1):
+            here = before + data[a : a + segment + 1]
+            yield words if not a else [], grams(here)
+            before = here[-DEPTH:]
+        if last:
+            return
+        begun, at = begun or bool(words), stop
+
+
+def grams(data: bytes) -> np.ndarray:
+    """For each byte after the first DEPTH the DEPTH bytes before it and itself."""
+    data = np.frombuffer(data, np.uint8).astype(np.uint64)
     n = len(data) - DEPTH
     out = data[DEPTH:].copy()
     for back in range(1, DEPTH + 1):
@@ -208,14 +234,20 @@ def _count(blocks: DataFrame, tasks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, None
         for batch in batches:
-            for block, train, text in zip(batch.column("block").to_pylist(), batch.column("train").to_pylist(), batch.column("text"), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("block", "train", "copies")]
+            for block, train, copies, text in zip(*columns, batch.column("text"), strict=True):
                 if block != current:
                     if held:
                         yield from made(current, *held)
                     current, held = block, (arrays.Distinct(), Counter(), set())
-                words = folded(text.as_py())
-                held[0].add(grams(words), train)
-                (held[1] if train else held[2]).update(words)
+                for words, codes in coded(text.as_py()):
+                    held[0].add(codes, train, copies)
+                    if not train:
+                        held[2].update(words)
+                    elif copies == 1:
+                        held[1].update(words)
+                    else:
+                        held[1].update({w: n * copies for w, n in Counter(words).items()})
         if held:
             yield from made(current, *held)
         held = None
@@ -236,20 +268,22 @@ def _sum_words(rows: pd.DataFrame) -> dict[bytes, int]:
     return total
 
 
-def _summed(parts: DataFrame) -> DataFrame:
-    """(kind, task, keys, counts) over all blocks; by salted sets of blocks first."""
+def _summed(parts: DataFrame, salts: int) -> DataFrame:
+    """(kind, task, keys, counts, total, known) over all blocks, by salted sets of blocks first; `total` adds up the counts,
+    `known` tells how many are not zero."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         if rows["kind"].iloc[0] == GRAMS:
             codes, n = arrays.sum_sorted(rows)
-            keys, counts = arrays.put_sorted(codes), arrays.squeeze(n)
+            keys = arrays.put_sorted(codes)
         else:
             total = sorted(_sum_words(rows).items())
-            keys, counts = _put_words([w for w, _ in total]), arrays.squeeze(np.array([n for _, n in total], np.int64))
-        return pd.DataFrame({"kind": [rows["kind"].iloc[0]], "task": [rows["task"].iloc[0]], "keys": [keys], "counts": [counts]})
+            keys, n = _put_words([w for w, _ in total]), np.array([n for _, n in total], np.int64)
+        return pd.DataFrame({"kind": [rows["kind"].iloc[0]], "task": [rows["task"].iloc[0]], "keys": [keys], "counts": [arrays.squeeze(n)], "total": [int(n.sum())], "known": [int((n > 0).sum())]})
 
-    schema = "kind int, task int, keys binary, counts binary"
-    return parts.groupBy("kind", "task", "salt").applyInPandas(add, schema).groupBy("kind", "task").applyInPandas(add, schema)
+    schema = "kind int, task int, keys binary, counts binary, total long, known long"
+    found = parts.groupBy("kind", "task", "salt").applyInPandas(add, schema)
+    return found.groupBy("kind", "task").applyInPandas(add, schema) if salts > 1 else found
 
 
 def shallow_levels(totals: DataFrame) -> dict[str, np.ndarray]:
@@ -323,27 +357,27 @@ class Lookup:
 
 
 def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every whole text."""
     spark = docs.sparkSession
     common.arrow_batches(spark)
-    rows = docs.select("doc_id", training(F.col("doc_id")).alias("train"), F.col("text").cast("binary").alias("text"))
+    rows, repeated = common.merge_copies(docs)
+    rows = rows.withColumn("train", training(F.col("doc_id")))
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n_blocks, tasks = max(12, -(-size // block_bytes)), max(24, -(-size // TASK_BYTES))
     salts = -(-n_blocks // SALT_BLOCKS)
-    block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_blocks))
+    block = F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(n_blocks))
     blocks = rows.withColumn("block", block).repartition(n_blocks, "block")
 
-    counted = common.materialize(_count(blocks, tasks), "ctw-parts")
-    parts = counted.withColumn("salt", (F.col("block") % salts).cast("int"))
-    common.release(spark)
-    totals = common.materialize(_summed(parts), "ctw-totals")
-    n_train = rows.where("train").count()
-    known = F.udf(lambda c: [int((v := arrays.spread(c, np.int64)).sum()), int((v > 0).sum())], "array<long>")(F.col("counts"))
-    known = totals.where(F.col("kind") == WORDS).select(known.alias("k")).agg(F.sum(F.col("k")[0]), F.sum(F.col("k")[1])).first()
-    total, distinct = (known[0] or 0) + n_train, (known[1] or 0) + (n_train > 0)
-    common.release(spark)
-    back = common.materialize(_returned(parts, totals, shallow_levels(totals), salts), "ctw-values")
-    common.discard(counted)
+    with common.scratch() as keep:
+        counted = common.materialize(_count(blocks, tasks), "ctw-parts")
+        parts = counted.withColumn("salt", (F.col("block") % salts).cast("int"))
+        common.release(spark)
+        totals = common.materialize(_summed(parts, salts), "ctw-totals")
+        n_train = rows.where("train").agg(F.sum("copies")).first()[0] or 0
+        known = totals.where(F.col("kind") == WORDS).agg(F.sum("total"), F.sum("known")).first()
+        total, distinct = (known[0] or 0) + n_train, (known[1] or 0) + (n_train > 0)
+        common.release(spark)
+        back = keep(common.materialize(_returned(parts, totals.drop("total", "known"), shallow_levels(totals), salts), "ctw-values"))
     common.release(spark)
 
     def run(key, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
@@ -357,17 +391,26 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         chance = lambda c: np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
         log, known, end = chance(counts), counts > 0, float(chance(n_train))
         out = []
-        for doc_id, train, text in zip(texts["doc_id"], texts["train"], texts["text"], strict=True):
-            words = folded(text)
-            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-            n_known = int(np.count_nonzero(known[at])) + (n_train > 0)
-            out.append((doc_id, not train, len(words) + 1, n_known, total, float(log[at].sum()) + end, float(lookup(grams(words)).sum())))
+        for doc_id, row_key, train, text in zip(texts["doc_id"], texts["row_key"], texts["train"], texts["text"], strict=True):
+            n_words, n_known, base, whole, n_bytes = 0, 0, 0.0, 0.0, 0
+            for words, codes in coded(text):
+                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+                n_words += len(words)
+                n_known += int(np.count_nonzero(known[at]))
+                base += float(log[at].sum())
+                whole += float(lookup(codes).sum())
+                n_bytes += len(codes)
+            out.append((doc_id, row_key, not train, n_words + 1, n_known + (n_train > 0), total, base + end, whole, -whole * _BITS / n_bytes))
         del lookup, place
         common.trim()
-        return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(out, columns=_COLUMNS).astype({"doc_id": "Int64"})
+
+    schema = "doc_id long, row_key binary, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    return common.spread_copies(blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(run, schema), repeated).drop("row_key")
+
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(run, schema)
+_BITS = float(np.log2(10))
+_COLUMNS = ["doc_id", "row_key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

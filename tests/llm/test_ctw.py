@@ -4,6 +4,8 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pulseloom.llm import ctw
@@ -83,10 +85,30 @@ def test_scores_against_the_definition(spark):
         base = sum(math.log10((counts.get(x, 0) + 0.5) / (total + 0.5 * (len(counts) + 1))) for x in words)
         assert r.base_score == pytest.approx(base, rel=1e-9)
         assert r.score == pytest.approx(w, rel=1e-6)  # chances return to the blocks as 32-bit floats
+        assert r.bits_per_byte == pytest.approx(-w * math.log2(10) / (len(b" ".join(words[:-1])) + 1), rel=1e-6)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bcd", "E", " ", "\n", "  \t"]), max_size=60).map("".join), st.integers(1, 9))
+def test_segments_code_the_same_bytes(text, segment):
+    parts, whole = list(ctw.coded(text.encode(), segment)), list(ctw.coded(text.encode()))
+    assert [w for words, _ in parts for w in words] == [w for words, _ in whole for w in words] == text.lower().encode().split()
+    assert np.concatenate([g for _, g in parts]).tolist() == np.concatenate([g for _, g in whole]).tolist()
+
+
+def test_rows_alike_count_each(spark):
+    rows = [(None, "hot row text")] * 90 + [(3, "hot row text")] * 60 + [(i, TEXTS[i % len(TEXTS)]) for i in range(4, 24)] + [(1, None), (1, "")]
+    docs = spark.createDataFrame([(i, t, 0.0, "x") for i, t in rows], "doc_id long, text string, score double, train string")
+    got = ctw.score(docs, block_bytes=200).collect()
+    assert len(got) == len(rows)
+    train = [t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    assert {r.train_tokens for r in got} == {sum(len((t or "").split()) + 1 for t in train)}
+    hot = {r.score for r in got if r.n_tokens == 4 and r.doc_id in (None, 3)}
+    assert len(hot) == 1 and hot.pop() == pytest.approx(brute(train, ["hot row text"], ctw.DEPTH)[0], rel=1e-6)
 
 
 def test_chances_of_a_context_sum_to_one():
-    codes = np.unique(np.concatenate([ctw.grams(t.encode().split()) for t in ("abc abd abe", "the cat")]))
+    codes = np.unique(np.concatenate([g for t in ("abc abd abe", "the cat") for _, g in ctw.coded(t.encode())]))
     context = int(codes[5]) >> 8
     rows = np.unique(np.concatenate([codes, (context << 8) + np.arange(256)]))
     levels = ctw.subtrees(rows.view(np.uint64), np.isin(rows, codes).astype(float), 2)
