@@ -5,8 +5,9 @@ at its end looks up how far it can shift without missing a pattern, which for mo
 zero the block's bucket lists the patterns that end in it, those that also begin with the window's first word are
 compared word by word. Patterns of one length share a matcher, so a short item does not shorten the shifts of the rest.
 
-The benchmark is broadcast in parts of bounded size (`PART_BYTES`); beyond one part the documents are searched part after
-part, each pass adding to the hits found before, and no part is left out.
+The benchmark is broadcast in parts of bounded size (`PART_BYTES`); beyond one part the documents are read once for each
+part, and no part is left out. All passes but the last write only the texts with hits, by 128 bits of the text; the last
+one adds them to its own.
 
 Defined cases: null and wordless texts have no words, no hits and no items; an item without words has no window; of
 repeated item rows one counts; a null item_id is written as an empty string; an empty benchmark leaves all documents
@@ -109,44 +110,65 @@ def search(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int =
     return found.select(*[F.col(f"k_{c}").alias(c) for c in keep], "wm_words", "wm_ranges", "wm_items")
 
 
+def _matching(spark: SparkSession, items: DataFrame, window: int, source: str, names: list[str], only_hits: bool):
+    """A function over batches: `names` and wm_words, wm_ranges, wm_items of the text in `source`, with those that an earlier
+    pass found, if the batch has them."""
+    rows = spark.sparkContext.broadcast([(r["item"], bytes(r["text"]) if r["text"] is not None else None) for r in items.collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers = Benchmark(rows.value, window)
+        for batch in batches:
+            n_words, ranges, hit, rest = [], [], [], []
+            before = [batch.column(c).to_pylist() for c in ("wm_before", "wm_found")] if "wm_before" in batch.schema.names else None
+            for k, text in enumerate(batch.column(source)):
+                data = text.as_py()
+                w = words(data.encode() if isinstance(data, str) else data)
+                r, found = matchers.scan(w)
+                if before and before[0][k] is not None:
+                    r = merged(r + list(zip(before[0][k][::2], before[0][k][1::2], strict=True)))
+                    found |= set(before[1][k])
+                if r or not only_hits:
+                    rest.append(k)
+                    n_words.append(len(w))
+                    ranges.append([x for pair in r for x in pair])
+                    hit.append(sorted(found))
+            kept = [batch.column(c) for c in names]
+            kept = [c.take(pa.array(rest, pa.int64())) for c in kept] if len(rest) < batch.num_rows else kept
+            made = [pa.array(n_words, pa.int64()), pa.array(ranges, pa.list_(pa.int64())), pa.array(hit, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=[*names, "wm_words", "wm_ranges", "wm_items"])
+
+    return run
+
+
+_FOUND = [T.StructField("wm_words", T.LongType()), T.StructField("wm_ranges", T.ArrayType(T.LongType())), T.StructField("wm_items", T.ArrayType(T.StringType()))]
+
+
 def _search(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
-    """`search` with `k_` before the names kept, so that none can clash."""
+    """`search` with `k_` before the names kept, so that none can clash; a text that is kept is sent once."""
     spark = docs.sparkSession
     common.arrow_batches(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
-    plain = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.col("text").cast("binary").alias("wm_text"))
-    schema = T.StructType([*plain.schema.fields, T.StructField("wm_words", T.LongType()), T.StructField("wm_ranges", T.ArrayType(T.LongType())), T.StructField("wm_items", T.ArrayType(T.StringType()))])
-    found = plain
-    for part in range(parts):
-        mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) if parts > 1 else items
-        rows = spark.sparkContext.broadcast([(r["item"], bytes(r["text"]) if r["text"] is not None else None) for r in mine.collect()])
-
-        def run(batches: Iterator[pa.RecordBatch], rows=rows, again=part > 0, last=part == parts - 1) -> Iterator[pa.RecordBatch]:
-            matchers = Benchmark(rows.value, window)
-            for batch in batches:
-                n_words, ranges, hit = [], [], []
-                for k, text in enumerate(batch.column("wm_text")):
-                    w = words(text.as_py())
-                    r, found = matchers.scan(w)
-                    if again:
-                        before = batch.column("wm_ranges")[k].as_py()
-                        r = merged(r + list(zip(before[::2], before[1::2], strict=True)))
-                        found |= set(batch.column("wm_items")[k].as_py())
-                    n_words.append(len(w))
-                    ranges.append([x for pair in r for x in pair])
-                    hit.append(sorted(found))
-                kept = [batch.column(c) for c in batch.schema.names if c.startswith("k_")]
-                names = [c for c in batch.schema.names if c.startswith("k_")]
-                text = pa.nulls(len(n_words), pa.binary()) if last else batch.column("wm_text")
-                made = [text, pa.array(n_words, pa.int64()), pa.array(ranges, pa.list_(pa.int64())), pa.array(hit, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*kept, *made], names=[*names, "wm_text", "wm_words", "wm_ranges", "wm_items"])
-
-        found = found.mapInArrow(run, schema)
-        if part < parts - 1:
-            found = common.materialize(found, "wu-manber-part")
-    return found
+    names = [f"k_{c}" for c in keep]
+    source = "k_text" if "text" in keep else "wm_text"
+    plain = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], *([] if "text" in keep else [F.col("text").alias("wm_text")]))
+    of = lambda part: items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
+    if parts == 1:
+        return plain.mapInArrow(_matching(spark, items, window, source, names, False), T.StructType([*plain.schema.fields[: len(keep)], *_FOUND]))
+
+    texts = docs.select(common.row_key(F.col("text")).alias("wm_key"), F.col("text").alias("wm_text"))
+    schema = T.StructType([T.StructField("wm_key", T.BinaryType()), *_FOUND])
+    with common.scratch() as keep_hits:
+        earlier = [common.materialize(texts.mapInArrow(_matching(spark, of(p), window, "wm_text", ["wm_key"], True), schema), "wu-manber-part") for p in range(parts - 1)]
+        hits = earlier[0]
+        for more in earlier[1:]:
+            hits = hits.unionByName(more)
+        # Rows of one text have one find each; copies of a text count once.
+        hits = hits.groupBy("wm_key").agg(F.flatten(F.collect_set("wm_ranges")).alias("wm_before"), F.array_distinct(F.flatten(F.collect_set("wm_items"))).alias("wm_found"))
+        hits = keep_hits(common.materialize(hits, "wu-manber-hits"))
+    plain = plain.withColumn("wm_key", common.row_key(F.col(source))).join(common.small(hits, hits.count()), "wm_key", "left").drop("wm_key")
+    return plain.mapInArrow(_matching(spark, of(parts - 1), window, source, names, False), T.StructType([*plain.schema.fields[: len(keep)], *_FOUND]))
 
 
 def hit_words() -> Column:
