@@ -165,21 +165,28 @@ def crc32_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
-def rank_in_groups(rows: DataFrame, keys: list[str], salt: list[str], order: list[str], name: str, n_rows: int) -> DataFrame:
-    """Add `name`: a gapless rank from 0 within each combination of `keys`, whatever share of the rows one of them holds.
+#: Rows of a cell of `rank_in_groups`.
+CELL_ROWS = 20_000
 
-    A group is cut into cells by a hash of `salt`; rows are numbered within a cell and cells are laid end to end, so no
-    task sorts a whole group. `salt` should tell the rows of a group apart; rows alike in `salt` and `order` are
-    interchangeable.
+
+def placed(rows: DataFrame) -> DataFrame:
+    """A materialised table with `_place`, a hash of where each row stands in its files, which every reading of them gives."""
+    return rows.withColumn("_place", F.xxhash64(F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1), F.col("_metadata.row_index")))
+
+
+def rank_in_groups(rows: DataFrame, key: str, order: list[str], name: str, counts: dict[int, int]) -> DataFrame:
+    """Add `name` to a `placed` table: a gapless rank from 0 within each group of `key`, whatever share of the rows one holds.
+
+    A group, of which `counts` tells the rows, is cut into cells of some `CELL_ROWS` by the rows' places; rows are numbered
+    within a cell and cells are laid end to end, so no task sorts a whole group, be all its rows alike. Which row of a group
+    has which rank depends on the files alone.
     """
-    cells = max(4, min(4096, -(-n_rows // 20_000)))
-    rows = rows.withColumn("_cell", F.pmod(F.xxhash64(*salt), F.lit(cells)))
-    cell = [*keys, "_cell"]
-    counts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.withColumn("_before", F.coalesce(before, F.lit(0)))
-    left = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*cell).orderBy(*order)))
-    counts = counts.select(*[F.col(c).alias(f"_k_{c}") for c in cell], "_before")
-    on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in cell]
-    joined = left.join(counts, on)
-    return joined.withColumn(name, F.col("_before") + F.col("_rn") - 1).drop("_cell", "_rn", "_before", *[f"_k_{c}" for c in cell])
+    spark = rows.sparkSession
+    cells = F.broadcast(spark.createDataFrame([(k, -(-n // CELL_ROWS)) for k, n in sorted(counts.items())], "_group long, _cells long"))  # a row a group
+    rows = rows.join(cells, F.col(key) == F.col("_group")).withColumn("_cell", F.pmod("_place", "_cells")).drop("_group", "_cells")
+    sizes = rows.groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col(key).alias("_group"), F.col("_cell").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
+    numbered = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(key, "_cell").orderBy(*order, "_place")))
+    joined = numbered.join(sizes, (F.col(key) == F.col("_group")) & (F.col("_cell") == F.col("_at")))
+    return joined.withColumn(name, F.col("_before") + F.col("_rn") - 1).drop("_cell", "_rn", "_before", "_group", "_at", "_place")

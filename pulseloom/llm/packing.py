@@ -110,7 +110,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = segments(patterns(counts, capacity))
     table = F.broadcast(spark.createDataFrame(plan, "_length long, _first long, _end long, _uses long, _sequence long, _offset long"))
-    ranked = common.rank_in_groups(cut, ["length"], ["doc_id", "start", "ids_crc32"], ["doc_id", "start", "ids_crc32"], "_rank", sum(counts.values()))
+    ranked = common.rank_in_groups(common.placed(cut), "length", ["doc_id", "start", "ids_crc32"], "_rank", counts)
     placed = ranked.join(table, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))
     at = F.col("_rank") - F.col("_first")
     return placed.select(

@@ -70,13 +70,13 @@ def lay_out(counts: dict[int, int], owner: list[int], shards: int) -> list[tuple
 def assign(rows: DataFrame, key: str, shards: int, others: list[str]) -> DataFrame:
     """Add shard and slot to materialised `rows`; `others` tell apart rows of one key."""
     spark = rows.sparkSession
-    rows = rows.withColumn("_position", F.pmod(F.shiftrightunsigned(F.xxhash64(F.lit("ring"), key), 11), F.lit(POSITIONS)))
+    rows = common.placed(rows).withColumn("_position", F.pmod(F.shiftrightunsigned(F.xxhash64(F.lit("ring"), key), 11), F.lit(POSITIONS)))
     counts = {r["_position"]: r["count"] for r in rows.groupBy("_position").count().collect()}
     plan = lay_out(counts, ring(shards), shards)
     # At most one row per position and one more per shard that fills up.
     schema = "p long, first long, end long, shard int, slot0 long"
     plan = F.broadcast(spark.createDataFrame(plan, schema))
-    ranked = common.rank_in_groups(rows, ["_position"], [key, *others], [key, *others], "_rank", sum(counts.values()) // 16)
+    ranked = common.rank_in_groups(rows, "_position", [key, *others], "_rank", counts)
     on = (F.col("_position") == F.col("p")) & (F.col("_rank") >= F.col("first")) & (F.col("_rank") < F.col("end"))
     placed = ranked.join(plan, on).withColumn("slot", F.col("slot0") + F.col("_rank") - F.col("first"))
     return placed.drop("_position", "_rank", "p", "first", "end", "slot0")

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter
 
@@ -55,3 +56,21 @@ def test_one_key_with_a_third_of_the_rows_and_an_empty_table(spark, tmp_path):
     assert sorted(r["count"] for r in got.groupBy("shard").count().collect()) == [375] * 8
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "b/documents.parquet"))
     assert ring_shards.query(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_a_new_shard_moves_few_keys_under_full_loads():
+    rng = random.Random(8)
+    counts = {}
+    for _ in range(100_000):
+        p = rng.randrange(ring_shards.POSITIONS)
+        counts[p] = counts.get(p, 0) + 1
+    places = []
+    for shards in (8, 9):
+        of = {}
+        for p, first, end, shard, _ in ring_shards.lay_out(counts, ring_shards.ring(shards), shards):
+            of.update({(p, r): shard for r in range(first, end)})
+        places.append(of)
+    moved = sum(places[0][k] != places[1][k] for k in places[0]) / len(places[0])
+    between_old = sum(places[0][k] != places[1][k] != 8 for k in places[0]) / len(places[0])
+    print("moved", moved, "between old shards", between_old)
+    assert 1 / 9 - 0.001 <= moved < 0.2 and between_old < 0.08
