@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import chat, ctw, exact_dedup, jaccard_join, language_id, license_scan, packing, pii, ring_shards, wu_manber
 
 QUERIES = {
@@ -17,7 +15,6 @@ QUERIES = {
     "op8_ring_shards": ring_shards.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_language_id": language_id.query,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

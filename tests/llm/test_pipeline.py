@@ -47,3 +47,31 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, k):
     some = stage(spark, docs.limit(20), SF)
     assert some.columns == docs.columns and some.count() > 0
     assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+CLASHING = ["_id", "_row", "_key", "_digest", "_chars", "_norm_digest", "_copies", "digest", "row_key", "chars", "node", "component_id", "lid_lang", "lid_text", "wm_text", "wm_key", "wm_items", "k_text", "k_doc_id"]
+
+
+@pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES) - 1))
+def test_stages_take_nulls_ties_long_texts_and_any_names(spark, k):
+    line = "the house and the garden of the king and the people of the town "
+    learn = [(i, f"{line} {i} " * 3, "en", "s", None) for i in range(30)] + [(100 + i, f"das haus und der garten des königs und die leute der stadt {i} " * 3, "de", None, 5) for i in range(30)]
+    odd = [(None, None, None, None, None), (None, "", "en", "s", 0), (200, "   ", None, "s", 0), (201, line, "en", "s", 1), (201, line, "en", "s", 1), (None, line, "en", "s", 2), (None, line, "en", "s", 2)]
+    odd += [(300, line * 60_000, "en", "s", 3), (301, line * 60_000, "en", "s", 3)]  # 4 MB, twice
+    rows = [(*r, *range(len(CLASHING))) for r in learn + odd]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in CLASHING)).repartition(3)
+    name, stage = corpus_pipeline.STAGES[k]
+    stay = stage(spark, docs, SF)
+    assert stay.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in stay.collect()]
+    assert set(got) <= {r[:2] for r in rows}
+    kept = {i for i, _ in got}
+    assert 300 in kept and (name in ("language", "decontaminate")) == (301 in kept)
+    if name == "language":
+        assert not any((t or "").strip() == "" for _, t in got) and sum(t == line for _, t in got) == 4
+    elif name == "exact_copies":
+        assert sum(t == line for _, t in got) == 1 and sum((t or "").strip() == "" for _, t in got) == 1
+    elif name == "near_copies":
+        assert sum((t or "").strip() == "" for _, t in got) == 3
+    else:
+        assert len(got) == len(rows)
