@@ -55,6 +55,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with common.scratch() as keep:
+        for name, stage in STAGES[:-1]:
+            with common.scratch() as keep_stage:  # what a stage wrote for itself goes with it
+                docs = keep_stage(common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+            common.release(spark)
+        keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
