@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,12 +54,15 @@ def gaussian(patch: int) -> list[float]:
     return [float(w) for w in 10 * np.exp(-0.5 * (at / (patch / 8)) ** 2).clip(1e-6)]
 
 
-def overlap_add(rows: DataFrame, starts: list[int], weights: list[float]) -> DataFrame:
-    """Cut the array column x of each record into tiles and put them together again by weighted means of each sample."""
+def overlap_add(rows: DataFrame, starts: list[int], weights: list[float], change: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Cut the array column x of each record into tiles and put them together again by weighted means of each sample; `change`
+    gives what is added to a tile's values, by its start."""
     patch = len(weights)
     w = F.array(*map(F.lit, weights))
     cut = rows.select("record", "x", F.explode(F.array(*map(F.lit, starts))).alias("s"))
     cut = cut.select("record", "s", F.posexplode(F.slice("x", F.col("s") + 1, patch)).alias("k", "v"))
+    if change:
+        cut = cut.withColumn("v", F.col("v") + change(F.col("s")))
     weight = F.get(w, F.col("k"))
     return cut.groupBy("record", (F.col("s") + F.col("k")).alias("i")).agg((F.sum(F.col("v") * weight) / F.sum(weight)).alias("y"))
 

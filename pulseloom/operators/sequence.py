@@ -81,21 +81,29 @@ def streak(beats: DataFrame, value: str, least: int = 3, band: float = 0.25) ->
 def refractory(beats: DataFrame, gap: float) -> DataFrame:
     """The beats kept when one closer than `gap` to the last kept beat is dropped: an ordered fold of each record."""
     times = F.array_sort(F.collect_list("t"))
-    start = F.array().cast("array<double>")
-    kept = F.aggregate(times, start, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(t))).otherwise(acc))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("last"))
+    kept = F.aggregate(times, start, lambda acc, t: F.when(acc["last"].isNull() | (t - acc["last"] >= gap), F.struct((acc["n"] + 1).alias("n"), t.alias("last"))).otherwise(acc))
     folded = beats.groupBy("record").agg(F.count(F.lit(1)).alias("n"), kept.alias("kept"))
-    return folded.select("record", "n", F.size("kept").cast("long").alias("n_kept"), F.element_at("kept", -1).alias("last_kept"))
+    return folded.select("record", "n", F.col("kept.n").alias("n_kept"), F.col("kept.last").alias("last_kept"))
+
+
+#: Beats back that still count in `smooth_in_place`: 3 to this power is beyond a double's digits.
+_REACH = 40
 
 
 def smooth_in_place(beats: DataFrame, value: str) -> DataFrame:
-    """Three-point means from left to right, each with its already smoothed left neighbour; the ends stay."""
-    xs = F.transform(F.array_sort(F.collect_list(F.struct("i", F.col(value).alias("x")))), lambda s: s["x"])
-    rows = beats.groupBy("record").agg(xs.alias("_x"))
-    start = F.slice("_x", 1, 1)
-    mid = F.when(F.size("_x") > 2, F.sequence(F.lit(1), F.size("_x") - 2)).otherwise(F.array().cast("array<int>"))
-    folded = F.aggregate(mid, start, lambda acc, k: F.concat(acc, F.array((F.element_at(acc, -1) + F.get("_x", k) + F.get("_x", k + 1)) / 3)))
-    folded = F.when(F.size("_x") > 1, F.concat(folded, F.slice("_x", -1, 1))).otherwise(F.col("_x"))
-    return rows.select("record", F.posexplode(folded).alias("i", "smooth")).withColumn("i", F.col("i").cast("long"))
+    """Three-point means from left to right, each with its already smoothed left neighbour; the ends stay.
+
+    The smoothed value is a third of the one before and of two raw ones, so it is the sum of their shares divided by the powers
+    of three; a frame of `_REACH` beats holds all that counts.
+    """
+    w = ordered()
+    own = F.when(F.lag("i").over(w).isNull(), F.col(value)).otherwise((F.col(value) + F.lead(value).over(w)) / 3)
+    rows = beats.select("record", "i", F.col(value).cast("double").alias(value)).withColumn("_own", own)
+    frame = F.collect_list(F.coalesce("_own", F.lit(0.0))).over(w.rowsBetween(-_REACH, 0))
+    folded = F.aggregate(frame, F.lit(0.0), lambda acc, x: acc / 3 + x)
+    last = F.lead("i").over(w).isNull() | F.lag("i").over(w).isNull()
+    return rows.select("record", "i", F.when(last, F.col(value)).otherwise(folded).alias("smooth"))
 
 
 def local_maxima(rows: DataFrame, value: str, height: float) -> DataFrame:

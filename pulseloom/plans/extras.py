@@ -30,8 +30,9 @@ def boundary_iou(spark, sf):
 
 
 def ensemble_mean(spark, sf):
-    members = samples(spark, sf).select("record", "i", F.explode(F.array(F.col("x"), F.col("x") * 0.5, F.col("x") + 0.1)).alias("p"))
-    return rounded(members.groupBy("record", "i").agg(F.avg("p").alias("p")), "p")
+    """Mean chance over the members of an ensemble, the waveforms of one label, and how far they disagree."""
+    rows = samples(spark, sf).groupBy("label", "i").agg(F.avg(stats.sigmoid(F.col("x"))).alias("p"), F.stddev_pop(stats.sigmoid(F.col("x"))).alias("spread"), F.count(F.lit(1)).alias("members"))
+    return rounded(rows, "p", "spread")
 
 
 def fingerprint(spark, sf):
@@ -200,7 +201,7 @@ QUERIES = {
 e AS (SELECT record, i, a - min(a) {_frame('1 ' + P, '1 ' + N)} AS a, b - min(b) {_frame('1 ' + P, '1 ' + N)} AS b FROM m),
 d AS (SELECT record, max(a) {_frame('2 ' + P, '2 ' + N)} AS a, max(b) {_frame('2 ' + P, '2 ' + N)} AS b FROM e)
 SELECT record, round(count(*) FILTER (a = 1 AND b = 1) / count(*) FILTER (a = 1 OR b = 1), 4) AS iou FROM d GROUP BY record"""),
-    "ensemble_mean": (ensemble_mean, SAMPLES + "SELECT record, i, round((x + x * 0.5 + (x + 0.1)) / 3, 4) + 0.0 AS p FROM samples"),
+    "ensemble_mean": (ensemble_mean, SAMPLES + "SELECT label, i, round(avg(1 / (1 + exp(-x))), 4) AS p, round(stddev_pop(1 / (1 + exp(-x))), 4) AS spread, count(*) AS members FROM samples GROUP BY label, i"),
     "fingerprint": (fingerprint, SAMPLES + "SELECT label, round(quantile_cont(x, 0.005), 4) AS low, round(quantile_cont(x, 0.5), 4) AS mid, round(quantile_cont(x, 0.995), 4) AS high, round(avg(x), 4) AS mean, round(min(x), 4) AS least, round(max(x), 4) AS most FROM samples WHERE x > 0 GROUP BY label"),
     "savitzky_golay": (savitzky_golay, SAMPLES + "SELECT record, i, round(coalesce((-3 * lag(x, 2) OVER w + 12 * lag(x) OVER w + 17 * x + 12 * lead(x) OVER w - 3 * lead(x, 2) OVER w) / 35, x), 4) + 0.0 AS y FROM samples WINDOW w AS (PARTITION BY record ORDER BY i)"),
     "baseline_removed": (baseline_removed, SAMPLES + f""", a AS (SELECT *, list_sort(list(x) {_frame('3 ' + P, '3 ' + N)}) AS l FROM samples), b AS (SELECT record, i, x, l[len(l) // 2 + 1] AS m FROM a),

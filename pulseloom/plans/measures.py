@@ -32,7 +32,10 @@ def resample_lerp(spark, sf):
 
 
 def overlap_add(spark, sf):
-    return rounded(wave.overlap_add(_waves(spark, sf), wave.tiles(64, 16, 0.9), wave.gaussian(16)), "y")
+    """Tiles whose values are off by a hundredth of the tile's number, put together by weighted means."""
+    starts, weights = wave.tiles(64, 16, 0.9), wave.gaussian(16)
+    off = lambda s: F.array_position(F.array(*map(F.lit, starts)), s) / 100
+    return rounded(wave.overlap_add(_waves(spark, sf), starts, weights, off), "y", places=6)
 
 
 def detrend(spark, sf):
@@ -40,8 +43,9 @@ def detrend(spark, sf):
 
 
 def pad_and_crop(spark, sf):
-    rows = _waves(spark, sf).select("record", wave.pad(F.col("x"), 48).alias("p"))
-    return rows.select("record", F.size("p").alias("padded"), F.size(F.slice("p", 1, 64)).alias("cropped"))
+    """Waveforms padded to a multiple of 48, cropped to 50 to 90 of that."""
+    rows = _waves(spark, sf).select("record", F.slice(wave.pad(F.col("x"), 48), 51, 40).alias("c"))
+    return rounded(rows.select("record", F.posexplode("c").alias("i", "y")), "y")
 
 
 def convolve_lag(spark, sf):
@@ -245,9 +249,11 @@ QUERIES = {
     "zscore_wave": (zscore_wave, SAMPLES + f"SELECT record, i, round(CASE WHEN sd > 0 THEN (x - mu) / sd ELSE 0 END, 4) + 0.0 AS z FROM samples {_X}"),
     "resample_lerp": (resample_lerp, SAMPLES + """, k AS (SELECT unnest(generate_series(0, 49)) AS k), p AS (SELECT record, k, k * 63 / 49.0 AS p FROM (SELECT DISTINCT record FROM samples), k)
 SELECT p.record, k AS i, round(a.x + (p - floor(p)) * (b.x - a.x), 4) + 0.0 AS y FROM p JOIN samples a ON a.record = p.record AND a.i = CAST(floor(p) AS BIGINT) JOIN samples b ON b.record = p.record AND b.i = least(CAST(floor(p) AS BIGINT) + 1, 63)"""),
-    "overlap_add": (overlap_add, SAMPLES + "SELECT record, i, round(x, 4) + 0.0 AS y FROM samples"),
+    "overlap_add": (overlap_add, SAMPLES + """, tile AS (SELECT unnest(range(5)) AS k), s AS (SELECT k, 12 * k AS s FROM tile),
+w AS (SELECT unnest(range(16)) AS j), g AS (SELECT j, 10 * greatest(exp(-0.5 * ((j - 7.5) / 2) ** 2), 1e-6) AS g FROM w)
+SELECT record, i, round(sum((x + (k + 1) / 100) * g) / sum(g), 6) + 0.0 AS y FROM samples JOIN s ON i BETWEEN s AND s + 15 JOIN g ON g.j = i - s GROUP BY record, i"""),
     "detrend": (detrend, SAMPLES + "SELECT record, i, round(x - (first_value(x) OVER w + i * (last_value(x) OVER w - first_value(x) OVER w) / 63), 4) + 0.0 AS y FROM samples WINDOW w AS (PARTITION BY record ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"),
-    "pad_and_crop": (pad_and_crop, "SELECT vec_id AS record, 96 AS padded, 64 AS cropped FROM embeddings"),
+    "pad_and_crop": (pad_and_crop, "SELECT vec_id AS record, k AS i, round(coalesce(embedding[k + 51], 0)::DOUBLE, 4) + 0.0 AS y FROM embeddings, (SELECT unnest(range(40)) AS k)"),
     "convolve_lag": (convolve_lag, SAMPLES + ", k AS (SELECT unnest([0, 1, 2]) AS j, unnest([0.25, 0.5, 0.25]) AS w) SELECT record, i + j AS i, round(sum(x * w), 4) + 0.0 AS y FROM samples, k GROUP BY ALL"),
     "shifted_difference": (shifted_difference, SAMPLES + ", d AS (SELECT record, x - coalesce(lag(x) OVER (PARTITION BY record ORDER BY i), 0) AS d FROM samples) SELECT record, round(sqrt(avg(d * d)), 4) AS d FROM d GROUP BY record"),
     "snr_db": (snr_db, SAMPLES + "SELECT record, round(10 * log10(avg(x * x) FILTER (i < 32) / avg(x * x) FILTER (i >= 32)), 4) AS snr FROM samples GROUP BY record"),
