@@ -11,7 +11,7 @@ many bits as the corpus needs, as compressed sorted arrays to tasks by range; th
 (by salted sets of blocks where there are many). A collision of cut shingles only raises a frequency, which changes the
 order for all documents alike. A prefix shingle that one document holds meets nobody and is not posted.
 
-Documents with equal sets are one node. Nodes that share prefix shingles are not paired with each other at once: in each
+Documents with equal sets, by 128 bits, are one node, numbered when it is written. Nodes that share prefix shingles are not paired with each other at once: in each
 posting list every node meets one hub first, best shared first, and verified links join them to components. Only lists
 that still hold several components go on, with other hubs, until what is left is paired whole, between components.
 No pair within a component is made, so a group of g near copies costs about g verifications. What is paired whole is cut
@@ -120,7 +120,7 @@ def _hashes(words: list[bytes], width: int) -> np.ndarray:
 
 
 def identity(found: np.ndarray) -> bytes:
-    """A digest of a whole set, which is the node of all documents with that set."""
+    """A digest of a whole set."""
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
@@ -195,7 +195,7 @@ def _edges(tasks: int, bits: int) -> np.ndarray:
 
 
 def prefixes(rows: DataFrame, width: int, num: int, den: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, row_key, n, own, node, matches, prefix) of every row (doc_id, text, row_key); `own` counts the shingles that no
+    """(doc_id, row_key, n, own, key, matches, prefix) of every row (doc_id, text, row_key); `own` counts the shingles that no
     other row holds."""
     common.arrow_batches(rows.sparkSession)
     rows = rows.select("doc_id", "text", "row_key")
@@ -222,28 +222,28 @@ def prefixes(rows: DataFrame, width: int, num: int, den: int, block_bytes: int =
             matches, first = prefix(s, frequency[np.searchsorted(codes, cut)].astype(np.int64), num, den) if len(s) else (0, s)
             own = int(np.count_nonzero(frequency[np.searchsorted(codes, cut)] == 1)) if len(s) else 0
             out.append((len(s), own, identity(s), matches, first.view(np.int64)))
-        made = pd.DataFrame(out, columns=["n", "own", "node", "matches", "prefix"])
+        made = pd.DataFrame(out, columns=["n", "own", "key", "matches", "prefix"])
         made.insert(0, "doc_id", texts["doc_id"].to_numpy())
         made.insert(1, "row_key", texts["row_key"].to_numpy())
         del sets, distinct, codes, known, frequency, out
         common.trim()
         return made.astype({"doc_id": "Int64"})
 
-    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(run, "doc_id long, row_key binary, n long, own long, node binary, matches int, prefix array<long>")
+    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(run, "doc_id long, row_key binary, n long, own long, key binary, matches int, prefix array<long>")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, n_wanted: int, width: int) -> DataFrame:
-    """(node, shingles) of the wanted (doc_id, row_key)."""
-    ids = common.small(wanted.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")), n_wanted)
-    rows = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left_semi").select("text")
+    """(node, shingles) of the wanted (node, doc_id, row_key)."""
+    ids = common.small(wanted.select("node", F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")), n_wanted)
+    rows = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key"))).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), width) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+            sets = [shingles(t.as_py(), width).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
         common.trim()
 
-    return rows.mapInArrow(run, "node binary, shingles array<long>")
+    return rows.mapInArrow(run, "node long, shingles array<long>")
 
 
 def _fits(a: str, b: str, num: int, den: int) -> Column:
@@ -284,26 +284,42 @@ _POSTED = ("node", "n", "own", "near", "with_hub", "matches", "label", "all")
 
 
 def _all_pairs(posted: DataFrame, open_: DataFrame, num: int, den: int, part: int) -> DataFrame:
-    """(a, b) of the candidates in the open lists, between components.
-
-    The larger of two similar sets has at most den / num times the shingles of the smaller, so it lies in its band of size or
-    the next; the smaller ones of a list and band are dealt into parts, each of which meets the larger ones in a task of
-    its own.
-    """
+    """(a, b) of the candidates in the open lists, between components; lists of more than `part` postings in parts."""
     lists = posted.groupBy("node").agg(F.collect_list("shingle").alias("all"))
+    rest = common.materialize(open_.join(lists, "node"), "join-rest")
+    long = common.materialize(rest.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > part).select("shingle"), "join-long")
+    n_long = long.count()
+    if not n_long:
+        return _paired(rest, rest, ["shingle"], F.col("node1") < F.col("node2"), num, den)
+    long = common.small(long, n_long)
+    short = rest.join(long, "shingle", "left_anti")
+    pairs = _paired(short, short, ["shingle"], F.col("node1") < F.col("node2"), num, den)
+    return pairs.unionByName(_paired_in_parts(rest.join(long, "shingle", "left_semi"), num, den, part))
+
+
+def _paired_in_parts(rest: DataFrame, num: int, den: int, part: int) -> DataFrame:
+    """The same for long lists: the larger of two similar sets has at most den / num times the shingles of the smaller, so it
+    lies in its band of size or the next; the smaller ones of a list and band are dealt into parts, each of which meets the
+    larger ones in a task of its own."""
     band = F.floor(F.log(F.col("n").cast("double")) / (1.001 * math.log(den / num))).cast("int") if den > num else F.lit(0)
-    rest = common.materialize(open_.join(lists, "node").withColumn("band", band), "join-rest")
+    rest = rest.withColumn("band", band)
     parts = rest.groupBy("shingle", "band").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
-    one = rest.join(parts, ["shingle", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    two = rest.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).join(parts, ["shingle", "band"])
-    two = two.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    one = one.select("shingle", "band", "part", *[F.col(c).alias(f"{c}1") for c in _POSTED])
-    two = two.select(*[F.col(c).alias(f"{c}_") for c in ("shingle", "band", "part")], *[F.col(c).alias(f"{c}2") for c in _POSTED])
-    # Each pair comes out of its first shared list only, and with enough shared shingles.
+    smaller = rest.join(parts, ["shingle", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    larger = rest.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).join(parts, ["shingle", "band"])
+    larger = larger.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    order = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") < F.col("node2")))
+    return _paired(smaller, larger, ["shingle", "band", "part"], order, num, den)
+
+
+def _paired(one: DataFrame, two: DataFrame, keys: list[str], order: Column, num: int, den: int) -> DataFrame:
+    """(a, b) of the postings that meet under `keys`: each pair comes out of its first shared list only, and with enough shared
+    shingles."""
+    one = one.select(*keys, *[F.col(c).alias(f"{c}1") for c in _POSTED])
+    two = two.select(*[F.col(c).alias(f"{c}_") for c in keys], *[F.col(c).alias(f"{c}2") for c in _POSTED])
     both = F.array_intersect("all1", "all2")
-    on = (F.col("shingle") == F.col("shingle_")) & (F.col("band") == F.col("band_")) & (F.col("part") == F.col("part_"))
-    on = on & (F.struct("n1", "node1") < F.struct(F.col("n2").alias("n1"), F.col("node2").alias("node1"))) & (F.col("label1") != F.col("label2"))
-    on = on & _fits("1", "2", num, den) & (F.array_min(both) == F.col("shingle")) & (F.size(both) >= F.least("matches1", "matches2"))
+    on = order & (F.col("label1") != F.col("label2")) & _fits("1", "2", num, den) & (F.array_min(both) == F.col("shingle")) & (F.size(both) >= F.least("matches1", "matches2"))
+    for key in keys:
+        on = (F.col(key) == F.col(f"{key}_")) & on
     return one.join(two, on).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
 
 
@@ -317,12 +333,13 @@ def components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         keep(found)
         common.release(spark)
         first = F.min(F.struct("doc_id", "row_key")).alias("first")  # a row to read the set from, be its doc_id null
-        classes = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), first, F.first("n").alias("n"), F.min("own").alias("own"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
-        classes = common.materialize(classes, "join-classes")
+        classes = found.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), first, F.first("n").alias("n"), F.min("own").alias("own"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
+        # Written with the rows, so the numbers stay; no two sets have one.
+        classes = common.materialize(classes.withColumn("node", F.monotonically_increasing_id()), "join-classes")
         posted = classes.select("node", "n", "own", "matches", F.explode("prefix").alias("shingle"))
         shared = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle")
         posted = common.materialize(posted.join(shared, "shingle", "left_semi"), "join-posted")
-        wanted = common.materialize(classes.join(posted.select("node").distinct(), "node", "left_semi").select("first.doc_id", "first.row_key"), "join-wanted")
+        wanted = common.materialize(classes.join(posted.select("node").distinct(), "node", "left_semi").select("node", "first.doc_id", "first.row_key"), "join-wanted")
         sets = common.materialize(_sets(rows, wanted, wanted.count(), width), "join-sets")
         common.release(spark)
 
@@ -349,11 +366,12 @@ def components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     labels = keep_turn(common.materialize(extended(labels, links), "join-labels"))
                 common.release(spark)
 
-        of = classes.select("node", "doc_id")
+        of = classes.select("key", "node", "doc_id")
         of = of.withColumn("label", F.col("node")) if labels is None else of.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        of = common.materialize(of.select("key", "doc_id", "label"), "join-labels")
         least = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        of = keep(common.materialize(of.join(least, "label").select("node", "component_id"), "join-components"))
-    out = found.select("doc_id", "row_key", "n", "node").join(of, "node", "left")
+        of = keep(common.materialize(of.join(least, "label").select("key", "component_id"), "join-components"))
+    out = found.select("doc_id", "row_key", "n", "key").join(of, "key", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key")
     return common.spread_copies(out, copies)
 
