@@ -1,7 +1,6 @@
-"""The rhythm rules as DataFrame stages: beats in, labelled intervals (record, name, first, last, seq) out.
+"""Single rhythm rules as DataFrame stages: beats in, labelled intervals (record, name, first, last, seq) out.
 
-The order is part of the meaning, the last writer winning. Here the first seven stages read the beats as they came;
-sinus rhythm and premature beats see the labels written before them. The rules that are missing are in the README.
+Each reads the beats as they come; all rules in order, each seeing the labels before it, are in `rhythm`.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import patterns
-from . import joins, regions, sequence
+from . import regions, sequence
 
 #: Distances, in deviations, of the normal law for one-sided chances of 0.05, 0.01 and 0.10 and a two-sided one of 0.05.
 ONE_SIDED = {0.05: 1.6449, 0.01: 2.3263, 0.10: 1.2816}
@@ -71,21 +70,3 @@ def premature_beats(beats: DataFrame, seq: int, chance: float = 0.05) -> DataFra
     early = expected - F.col("rr_raw") > ONE_SIDED[chance] * spread
     rows = beats.withColumn("_early", F.coalesce(early, F.lit(False))).where("_early")
     return rows.select("record", F.when(F.col("kind") == "V", "PVC").otherwise("PAC").alias("name"), F.col("i").alias("first"), F.col("i").alias("last"), F.lit(seq).alias("seq"))
-
-
-def apply_rules(beats: DataFrame, noise: Column, fibrillation: Column) -> DataFrame:
-    """The labels of the rules given here, in order; sinus rhythm is looked for among beats that no earlier rule took."""
-    stages = [
-        mask_rule(beats, noise & ~fibrillation, "NOISE", 1),
-        mask_rule(beats, fibrillation, "AFIB", 2),
-        ventricular_runs(beats, 3),
-        pattern_rule(beats, "BIGEMINY", 4),
-        pattern_rule(beats, "TRIGEMINY", 5),
-        pattern_rule(beats, "QUADRIGEMINY", 6),
-        rate_rule(beats, "SUDDEN_BRADY", 7, below=45.0),
-    ]
-    labels = stages[0]
-    for stage in stages[1:]:
-        labels = labels.unionByName(stage)
-    free = joins.label_beats(beats, labels).withColumn("kind", F.when(F.col("diagnosis").isNull(), F.col("kind")).otherwise("X")).drop("diagnosis")
-    return labels.unionByName(sinus_rule(free, 8)).unionByName(premature_beats(free, 9))

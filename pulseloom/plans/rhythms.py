@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import detect, rules, sequence
-from ..sources.tables import beats, table
+from ..operators import detect, rhythm, rules, sequence
+from ..sources.tables import beats, heart_waves, table
 from ..streaming import streams
 from .intervals import P, _frame
 from .measures import _waves
@@ -39,9 +39,20 @@ def premature_rule(spark, sf):
 
 
 def rule_engine(spark, sf):
-    """The rules of `apply_rules` in order, which are fewer than the survey's."""
-    rows = _rated(spark, sf)
-    return rules.apply_rules(rows, F.col("value") > 150, F.col("event_type") == "error")
+    """All rules in order over the events as recordings; held against recordings made for each rule, as SQL has no ordered fold
+    that writes labels."""
+    return rhythm.diagnose(heart_waves(spark, sf))
+
+
+def rule_engine_patterns(spark, sf):
+    """The rules whose labels do not depend on one another, by the same engine with the others switched off."""
+    off = dict.fromkeys(("VT", "SVT", "AVB", "CHB", "WENCKEBACH", "EAR", "NSR", "PVC"), False)
+    return rhythm.diagnose(heart_waves(spark, sf), off).select("record", "name", "first", "last")
+
+
+def _pattern_rule(name, pattern):
+    return f"""SELECT record, '{name}' AS name, list_sum([len(x) FOR x IN g[1:k]]) + coalesce(list_sum([len(x) FOR x IN m[1:k - 1]]), 0) AS f, len(m[k]) AS n
+FROM (SELECT record, m, g, unnest(generate_series(1, len(m))) AS k FROM (SELECT record, regexp_extract_all(b, '{pattern}') AS m, string_split_regex(b, '{pattern}') AS g FROM strings))"""
 
 
 def p_polarity(spark, sf):
@@ -120,6 +131,18 @@ SELECT record, 'SUDDEN_BRADY' AS name, min(i) AS first, max(i) AS last, 7 AS seq
     "premature_rule": (premature_rule, _RATED + """, x AS (SELECT *, (3 * lag(rr) OVER w + 2 * lag(rr, 2) OVER w + lag(rr, 3) OVER w) / 6 - rr AS d, stddev_pop(rr) OVER (PARTITION BY record ORDER BY i ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS s FROM rated WINDOW w AS (PARTITION BY record ORDER BY i))
 SELECT record, CASE WHEN kind = 'V' THEN 'PVC' ELSE 'PAC' END AS name, i AS first FROM x WHERE d > 1.6449 * s"""),
     "rule_engine": (rule_engine, None),
+    "rule_engine_patterns": (rule_engine_patterns, """WITH e AS (SELECT user_id AS record, epoch_us(ts) / 3.6e10 AS t, event_type, value, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) = 'view' AS led FROM events),
+b AS (SELECT record, row_number() OVER (PARTITION BY record ORDER BY t) - 1 AS i, t, event_type IN ('error', 'signup') AS v, value > 150 AS noise, value BETWEEN 30 AND 40 AS afib,
+ NOT ((event_type IN ('error', 'signup') AND 0.06 + (floor(value)::BIGINT % 30) / 200 > 0.12) OR value BETWEEN 30 AND 40 OR 10 + value % 40 < 20)
+ AND (NOT coalesce(led, false) OR (t - 0.04) - (t - 0.05 - (floor(value)::BIGINT % 30) / 100) < 0.075 OR value % 60 > 50) AS j FROM e WHERE event_type <> 'view'),
+strings AS (SELECT record, replace(replace(string_agg(CASE WHEN v THEN 'V' ELSE 'N' END, '' ORDER BY i), 'VVVNVVV', 'VVVVVVV'), 'VVVNNVVV', 'VVVVVVVV') AS b FROM b GROUP BY record),
+js AS (SELECT record, replace(replace(string_agg(CASE WHEN j THEN 'J' WHEN v THEN 'V' ELSE 'N' END, '' ORDER BY i), 'JJJVJJJ', 'JJJJJJJ'), 'JJJNJJJ', 'JJJJJJJ') AS b FROM b GROUP BY record),
+m AS (SELECT record, i, 'NOISE' AS name FROM b WHERE noise AND NOT afib UNION ALL SELECT record, i, 'AFIB' FROM b WHERE afib
+ UNION ALL SELECT b.record, b.i, 'JUNCTIONAL' FROM b JOIN js USING (record) WHERE substr(js.b, b.i::INT + 1, 1) = 'J'),
+r AS (SELECT record, name, min(i) AS first, max(i) AS last FROM (SELECT *, i - row_number() OVER (PARTITION BY record, name ORDER BY i) AS g FROM m) GROUP BY record, name, g),
+p AS (SELECT record, name, f::BIGINT AS first, (f + n - 1)::BIGINT AS last FROM (""" + " UNION ALL ".join(_pattern_rule(n, p) for n, p in (("BIGEMINY", "(?:NV){3,}|(?:VN){3,}"), ("TRIGEMINY", "(?:NNV){3,}|(?:VNN){3,}"), ("QUADRIGEMINY", "(?:NNNV){3,}|(?:VNNN){3,}"))) + """))
+SELECT * FROM p UNION ALL SELECT r.* FROM r WHERE name <> 'JUNCTIONAL'
+UNION ALL SELECT r.* FROM r JOIN b x ON x.record = r.record AND x.i = first JOIN b y ON y.record = r.record AND y.i = last WHERE name = 'JUNCTIONAL' AND last - first >= 2 AND 60 * (last - first) / (y.t - x.t) < 100"""),
     "p_polarity": (p_polarity, "WITH x AS (SELECT vec_id AS record, list_max(embedding)::DOUBLE AS hi, list_min(embedding)::DOUBLE AS lo FROM embeddings) SELECT record, CASE WHEN hi - lo < 0.02 THEN 'flat' WHEN hi > -2 * lo THEN 'positive' WHEN -lo > 2 * hi THEN 'negative' ELSE 'biphasic' END AS polarity FROM x"),
     "threshold_search": (threshold_search, BEATS + """, g AS (SELECT record, i, t, thr FROM beats, (SELECT unnest([80, 60, 40, 20]) AS thr) WHERE value > thr),
 d AS (SELECT record, thr, t - lag(t) OVER (PARTITION BY record, thr ORDER BY i) AS d FROM g),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulseloom.functions import patterns, stats, waveform
-from pulseloom.operators import detect, evaluate, joins, regions, rules, sequence
+from pulseloom.operators import detect, evaluate, joins, regions, sequence
 from pulseloom.sources import recordings
 from pulseloom.streaming import streams
 
@@ -145,17 +145,6 @@ def test_clusterings():
     assert detect.polarity(np.array([0, 0.5, -0.1])) == "positive" and detect.polarity(np.array([0.001, 0])) == "flat"
 
 
-def test_rules_overwrite_in_order(spark):
-    rng = random.Random(2)
-    rows = [(1, i, float(t), rng.choice("NNV"), rng.random() * 100) for i, t in enumerate(itertools.accumulate(rng.uniform(0.5, 1.5) for _ in range(120)))]
-    frame = sequence.rr_intervals(spark.createDataFrame(rows, "record long, i long, t double, kind string, value double"))
-    labels = rules.apply_rules(frame, F.col("value") > 95, F.col("value") < 5)
-    assert {r.seq for r in labels.select("seq").distinct().collect()} >= {1, 2}
-    taken = {(r.first, r.last) for r in labels.where("seq = 8").collect()}
-    earlier = {i for r in labels.where("seq < 8").collect() for i in range(r.first, r.last + 1)}
-    assert taken and all(len(earlier & set(range(i - 2, i + 3))) <= 1 for a, b in taken for i in range(a, b + 1))
-
-
 def test_header_and_signal(spark, tmp_path):
     (tmp_path / "r1.hea").write_text("r1 2 200 6\nr1.dat 16+24 1000(0)/mV 16 0 0 0 0 II\nr1.dat 16+24 500(10)/mV 16 0 0 0 0 V1\n")
     raw = np.array([[1000, 10], [2000, 510], [0, -490], [-32768, 10], [500, 10], [0, 10]], "<i2")
