@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import stats
 from ..functions import waveform as wave
-from ..operators import sequence
+from ..operators import sequence, waves
 from ..sources.tables import beats, samples, table
 from .intervals import SAMPLES
 from .measures import _waves
@@ -159,8 +159,66 @@ def validated_sources(spark, sf):
     return rows.select("record", F.coalesce(fault, F.lit("ok")).alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Events as samples, so many a second.
+FS = 50
+
+
+def _sampled(spark, sf):
+    """Events as samples with chances of a complex, masks of P and T waves, and noise."""
+    rows = beats(spark, sf).withColumn("noise", F.col("value") > 120)
+    rows = rows.withColumn("normal", F.least(F.col("value") / 200, F.lit(0.2))).withColumn("abnormal", F.when(F.col("kind") == "V", F.pmod("value", F.lit(1.0)) / 2).otherwise(0.0))
+    return rows.withColumn("p", F.col("event_type").isin("view", "click")).withColumn("t", F.col("event_type").isin("click", "purchase"))
+
+
+def qrs_waves(spark, sf):
+    return waves.qrs_waves(_sampled(spark, sf), FS)
+
+
+def p_waves(spark, sf):
+    return waves.p_waves(_sampled(spark, sf), FS / 5)
+
+
+def peak_check(spark, sf):
+    """Views against clicks, as two detectors' peaks, a day for a window and an hour for the tolerance."""
+    rows = beats(spark, sf)
+    return waves.peak_check(rows.where("event_type = 'view'"), rows.where("event_type IN ('click', 'view') AND value > 20"), 86400.0, 3600.0)
+
+
+def suspicious_records(spark, sf):
+    rows = _rated(spark, sf).withColumn("t", F.col("t"))
+    return waves.suspicious(rows, 8.0, 3.2)
+
+
+def fibrillation_corrected(spark, sf):
+    """No SQL twin: a chain of steps on the mask; held against a plain walk over samples on small recordings."""
+    rows = beats(spark, sf).withColumns({"afib": F.col("value") < 80, "noise": F.col("value") > 250, "doubt": F.pmod("value", F.lit(1.0)) / 100, "beat": F.col("event_type") != "view", "abnormal": F.col("kind") == "V", "has_p": F.col("event_type") == "click"})
+    return waves.fibrillation(rows, 4.0)
+
+
+_SAMPLED = BEATS + """, s AS (SELECT record, i, least(value / 200, 0.2) + CASE WHEN kind = 'V' THEN value % 1 / 2 ELSE 0 END AS both, (least(value / 200, 0.2) + CASE WHEN kind = 'V' THEN value % 1 / 2 ELSE 0 END > 0.25)::INT AS m,
+ CASE WHEN kind = 'V' THEN value % 1 / 2 ELSE 0 END AS abnormal, event_type IN ('view', 'click') AS p, event_type IN ('click', 'purchase') AS tw,
+ value > 120 OR coalesce(lead(value) OVER (PARTITION BY record ORDER BY i) > 120, false) AS noisy, count(*) OVER (PARTITION BY record) AS n FROM beats)"""
 _ARRAY = "[" + ", ".join(map(str, RADII)) + "]"
 QUERIES = {
+    "qrs_waves": (qrs_waves, _SAMPLED + """, d AS (SELECT *, max(m) OVER (PARTITION BY record ORDER BY i ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS d FROM s),
+c AS (SELECT *, min(d) OVER (PARTITION BY record ORDER BY i ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS c, max(abnormal) OVER (PARTITION BY record ORDER BY i ROWS BETWEEN 5 PRECEDING AND 9 FOLLOWING) AS most FROM d),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY record, c ORDER BY i) AS g FROM c),
+r AS (SELECT record, min(i) AS start, max(i) + 1 AS "end", bool_or(noisy) AS dirty, max(n) AS n FROM g WHERE c = 1 GROUP BY record, g)
+SELECT r.record, r.start, r."end", i - 5 AS first, i + 10 AS last, r."end" - r.start + 1 AS width, most > 0.1 AS abnormal FROM r JOIN c ON c.record = r.record AND c.i = (r.start + r."end") // 2
+WHERE NOT dirty AND r.start > 5 AND r."end" < r.n - 10"""),
+    "p_waves": (p_waves, _SAMPLED + """, g AS (SELECT *, i - row_number() OVER (PARTITION BY record, p ORDER BY i) AS g, lead(tw) OVER (PARTITION BY record ORDER BY i) AS tn FROM s),
+r AS (SELECT record, min(i) AS start, max(i) + 1 AS "end", bool_or(noisy) AS dirty, max(n) AS n, min_by(tw, i) AS t1, max_by(coalesce(tn, false), i) AS t2 FROM g WHERE p GROUP BY record, g),
+k AS (SELECT record, start, "end", (start + "end") // 2 - 1 AS first, (start + "end") // 2 + 1 AS last FROM r WHERE NOT dirty AND start > 1 AND "end" < n - 1 AND NOT (t1 AND t2))
+SELECT record, start, "end", first, last, coalesce(last + 1 > lead(first) OVER w - 1, false) OR coalesce(lag(last) OVER w + 1 > first - 1, false) AS double FROM k WINDOW w AS (PARTITION BY record ORDER BY start)"""),
+    "peak_check": (peak_check, BEATS + """, a AS (SELECT record, t, floor(t / 86400) AS part FROM beats WHERE event_type = 'view'), o AS (SELECT record, t, floor(t / 86400) AS part FROM beats WHERE event_type IN ('click', 'view') AND value > 20),
+x AS (SELECT record, part, true AS mine, EXISTS (SELECT 1 FROM o WHERE o.record = a.record AND o.part = a.part AND abs(o.t - a.t) <= 3600) AS hit FROM a
+ UNION ALL SELECT record, part, false, EXISTS (SELECT 1 FROM a WHERE o.record = a.record AND o.part = a.part AND abs(o.t - a.t) <= 3600) FROM o),
+c AS (SELECT record, part::BIGINT AS part, count(*) FILTER (mine AND hit) AS tp, count(*) FILTER (mine AND NOT hit) AS fp, count(*) FILTER (NOT mine AND NOT hit) AS fn FROM x GROUP BY ALL),
+s AS (SELECT *, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS se, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pp FROM c)
+SELECT record, part, tp, fp, fn, se < 0.5 OR pp < 0.5 OR CASE WHEN se + pp > 0 THEN 2 * se * pp / (se + pp) ELSE 0 END < 0.5 AS mismatch FROM s"""),
+    "suspicious_records": (suspicious_records, BEATS + """, d AS (SELECT record, rr_raw / 36000 AS x, floor(t / 36000 / 30) AS part, rr_raw / 36000 - lag(rr_raw / 36000) OVER (PARTITION BY record, floor(t / 36000 / 30) ORDER BY t) AS d FROM rr),
+p AS (SELECT record, part, max(x) AS most, sqrt(avg(d * d)) AS r FROM d GROUP BY ALL) SELECT record FROM p GROUP BY record HAVING max(most) > 8 OR max(r) > 3.2"""),
+    "fibrillation_corrected": (fibrillation_corrected, None),
     "channel_slice": (channel_slice, SAMPLES + "SELECT record, i, x FROM samples WHERE i IN (1, 6, 11)"),
     "uncertain_reset": (uncertain_reset, BEATS + "SELECT record, i, kind = 'V' AND NOT (rr_raw / 1e6 > 0.075 AND rr_raw / 1e6 < 0.2 AND ln(value / 100 + 0.0001) > -1) AS abnormal FROM rr"),
     "noise_reflected": (noise_reflected, BEATS + """, m AS (SELECT record, i, (least(value / 100, 1) > 0.5 OR ln(CASE WHEN least(value / 100, 1) > 0.5 THEN 0 ELSE value % 1 END + 0.0001) > -1)::INT AS m FROM beats),

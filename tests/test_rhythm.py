@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from pulseloom.operators import rhythm
+from pulseloom.operators import rhythm, waves
 
 
 def recording(times, p=0.16, **columns):
@@ -157,3 +157,73 @@ def test_records_are_independent_and_may_be_empty(spark):
     waves = spark.createDataFrame(pd.concat([one, two, only_p], ignore_index=True))
     got = sorted(tuple(r) for r in rhythm.diagnose(waves).collect())
     assert got == [(1, 0, "main", "NSR", 0, 19), (2, 0, "main", "AVB_TYPE1", 0, 19)]
+
+
+def fibrillation_by_walking(mask, noise, doubt, beats, abnormal, has_p, fs):
+    """The same steps, sample by sample."""
+    m = [bool(x) for x in mask]
+    kinds = "".join("V" if x else "N" for x in abnormal)
+    for unit in ("V", "NV", "NNV"):
+        k = 0
+        while k < len(kinds):
+            n = 0
+            while kinds.startswith(unit, k + n * len(unit)):
+                n += 1
+            if n >= 3:
+                for j in range(beats[k], beats[k + n * len(unit) - 1] + 1):
+                    m[j] = False
+                k += n * len(unit)
+            else:
+                k += 1
+    if len(beats) >= 5:
+        most = [sum(has_p[max(0, i - 2) : i + 3]) / len(has_p[max(0, i - 2) : i + 3]) > 0.5 for i in range(len(beats))]
+        for i in range(len(beats)):
+            if most[i]:
+                last = i
+                while last + 1 < len(beats) and most[last + 1]:
+                    last += 1
+                for j in range(beats[i], beats[last] + 1):
+                    m[j] = False
+    m = [x and not y for x, y in zip(m, noise, strict=True)]
+
+    def frame(x, f):
+        half = fs // 2
+        return [f(x[max(0, i - half) : i + half]) for i in range(len(x))]
+
+    def islands(x):
+        out, start = [], None
+        for i, v in enumerate([*x, False]):
+            if v and start is None:
+                start = i
+            if not v and start is not None:
+                out.append((start, i))
+                start = None
+        return out
+
+    m = frame(frame(m, any), all)
+    for a, b in islands(m):
+        if sum(a <= x <= b for x in beats) < 3:
+            m[a:b] = [False] * (b - a)
+    m = frame(frame(frame(frame(m, all), any), any), all)
+    for a, b in islands(m):
+        if b - a < 3 * fs and sum(np.log(doubt[k] + 0.0001) for k in range(a, b)) / (b - a) >= -5:
+            m[a:b] = [False] * (b - a)
+    return m
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_fibrillation_against_a_walk(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(20, 160))
+    mask, noise = np.repeat(rng.random(n) < 0.7, 3)[:n], rng.random(n) < 0.02
+    doubt, beats = rng.random(n) ** 4 / 50, np.flatnonzero(rng.random(n) < 0.4)
+    abnormal, has_p = rng.random(len(beats)) < 0.4, rng.random(len(beats)) < 0.4
+    got = waves.corrected_fibrillation(mask, noise, doubt, beats, abnormal, has_p, 4)
+    assert got.tolist() == fibrillation_by_walking(mask, noise, doubt, beats, abnormal, has_p, 4)
+
+
+def test_the_peak_of_a_wave():
+    x = np.concatenate([np.zeros(10), [0.1, 0.4, 2.0, 0.3, -0.5, 0], np.zeros(10)])
+    assert waves.r_peak(x, 10, 16) == 12
+    assert waves.r_peak(-x, 10, 16) == 12
+    assert 0 <= waves.r_peak(np.arange(20.0), 5, 15) - 5 < 10
