@@ -110,3 +110,27 @@ def all_pairs_rmse(waves: DataFrame, group: str, block: int = BLOCK) -> DataFram
         return pd.DataFrame({"record": made[0], "record2": made[1], "rmse": made[2]})
 
     return dealt.groupBy(group, "low", "high").applyInPandas(run, "record long, record2 long, rmse double")
+
+
+#: Parts into which `disjoint` cuts the line; what is told about them fits a broadcast.
+PARTS = 64
+
+
+def disjoint(rows: DataFrame, key: str, low: str, high: str) -> DataFrame:
+    """The keys whose intervals [low, high] overlap none of the others.
+
+    One does if it starts after all that start before it have ended, and ends before the next one starts. The line is cut into
+    `PARTS`; what lies before and after a part is told by each part's extremes, so parts are sorted by themselves.
+    """
+    ends = rows.agg(F.min(low).alias("_a"), F.max(low).alias("_b"))
+    part = F.when(F.col("_b") > F.col("_a"), F.least(F.floor((F.col(low) - F.col("_a")) / (F.col("_b") - F.col("_a")) * PARTS), F.lit(PARTS - 1))).otherwise(F.lit(0)).cast("int")
+    rows = rows.crossJoin(F.broadcast(ends)).withColumn("_part", part).drop("_a", "_b")  # one row of two numbers
+    extremes = rows.groupBy("_part").agg(F.max(high).alias("_high"), F.min(low).alias("_low"))
+    order = Window.partitionBy(F.lit(0)).orderBy("_part")  # at most PARTS rows
+    extremes = extremes.select("_part", F.max("_high").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_reached"), F.lead("_low").over(order).alias("_next"))
+    w = Window.partitionBy("_part").orderBy(low, key)
+    rows = rows.join(F.broadcast(extremes), "_part")
+    before = F.greatest(F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_reached"))
+    after = F.coalesce(F.lead(low).over(w), F.col("_next"))
+    rows = rows.withColumn("_before", before).withColumn("_after", after)
+    return rows.where((F.col("_before").isNull() | (F.col("_before") < F.col(low))) & (F.col("_after").isNull() | (F.col("_after") > F.col(high)))).select(key)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats
 from ..functions import waveform as wave
 from ..operators import sequence, waves
+from ..sources import recordings
 from ..sources.tables import beats, samples, table
 from .intervals import SAMPLES
 from .measures import _waves
@@ -159,6 +164,36 @@ def validated_sources(spark, sf):
     return rows.select("record", F.coalesce(fault, F.lit("ok")).alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _recorded(spark, sf):
+    """A folder, shared by all executors, with the waveforms as recordings of sixteen leads."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = os.path.join(tempfile.gettempdir(), f"pulseloom-{os.getuid()}")
+    folder = f"{root.rstrip('/')}/recordings-{uuid.uuid4().hex}"
+    rows = _waves(spark, sf).select((F.col("record") / 16).cast("long").alias("record"), F.format_string("L%02d", F.col("record") % 16).alias("lead"), F.col("x").alias("sig"))
+    recordings.write_records(rows, folder, 64.0)
+    return folder
+
+
+def recording_files(spark, sf):
+    """Waveforms written as recordings of sixteen leads and scanned again, in thousandths."""
+    rows = recordings.signals(spark, _recorded(spark, sf))
+    return rounded(rows.select(F.col("record").cast("long").alias("record"), "lead", F.posexplode("sig").alias("i", "y")), "y")
+
+
+def recording_ranges(spark, sf):
+    """The same, a quarter of a second around the middle of each: a ranged read."""
+    rows = recordings.signals(spark, _recorded(spark, sf), middle_seconds=0.25)
+    return rounded(rows.select(F.col("record").cast("long").alias("record"), "lead", F.posexplode("sig").alias("i", "y")), "y")
+
+
+def recording_headers(spark, sf):
+    rows = recordings.headers(spark, f"{_recorded(spark, sf)}/*.hea")
+    return rows.select(F.col("record").cast("long").alias("record"), "n_signals", "fs", "n_samples", F.array_join(F.transform("signals", lambda s: s["lead"]), ",").alias("leads"))
+
+
 #: Events as samples, so many a second.
 FS = 50
 
@@ -200,6 +235,9 @@ _SAMPLED = BEATS + """, s AS (SELECT record, i, least(value / 200, 0.2) + CASE W
  value > 120 OR coalesce(lead(value) OVER (PARTITION BY record ORDER BY i) > 120, false) AS noisy, count(*) OVER (PARTITION BY record) AS n FROM beats)"""
 _ARRAY = "[" + ", ".join(map(str, RADII)) + "]"
 QUERIES = {
+    "recording_files": (recording_files, SAMPLES + "SELECT record // 16 AS record, format('L{:02d}', record % 16) AS lead, i, round(floor(x * 1000 + 0.5) / 1000, 4) + 0.0 AS y FROM samples"),
+    "recording_ranges": (recording_ranges, SAMPLES + "SELECT record // 16 AS record, format('L{:02d}', record % 16) AS lead, i - 24 AS i, round(floor(x * 1000 + 0.5) / 1000, 4) + 0.0 AS y FROM samples WHERE i BETWEEN 24 AND 39"),
+    "recording_headers": (recording_headers, "SELECT vec_id // 16 AS record, count(*)::INT AS n_signals, 64.0::DOUBLE AS fs, 64 AS n_samples, string_agg(format('L{:02d}', vec_id % 16), ',' ORDER BY vec_id) AS leads FROM embeddings GROUP BY 1"),
     "qrs_waves": (qrs_waves, _SAMPLED + """, d AS (SELECT *, max(m) OVER (PARTITION BY record ORDER BY i ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS d FROM s),
 c AS (SELECT *, min(d) OVER (PARTITION BY record ORDER BY i ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS c, max(abnormal) OVER (PARTITION BY record ORDER BY i ROWS BETWEEN 5 PRECEDING AND 9 FOLLOWING) AS most FROM d),
 g AS (SELECT *, i - row_number() OVER (PARTITION BY record, c ORDER BY i) AS g FROM c),

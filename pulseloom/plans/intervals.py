@@ -124,10 +124,7 @@ def interval_overlap(spark, sf):
 def non_overlapping(spark, sf):
     spans = beats(spark, sf).groupBy("record").agg(F.avg("value").alias("m"), (F.stddev_pop("value") / F.sqrt(F.count(F.lit(1)))).alias("se"))
     spans = spans.select("record", (F.col("m") - F.col("se")).alias("low"), (F.col("m") + F.col("se")).alias("high"))
-    # An interval overlaps none if it starts after all before it end and ends before the next one starts.
-    w = Window.orderBy("low", "record")
-    out = spans.withColumn("before", F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.lead("low").over(w))
-    return out.where((F.col("before").isNull() | (F.col("before") < F.col("low"))) & (F.col("after").isNull() | (F.col("after") > F.col("high")))).select("record")
+    return joins.disjoint(spans.where("low IS NOT NULL"), "record", "low", "high")
 
 
 def seen_elsewhere(spark, sf):

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,36 +39,74 @@ def headers(spark: SparkSession, pattern: str) -> DataFrame:
     return files.mapInPandas(run, HEADER)
 
 
-def decode16(data: bytes, prefix: int, n_signals: int, gains: list[float], baselines: list[int], first: int = 0, count: int | None = None) -> np.ndarray:
+def decode16(data: bytes, n_signals: int, gains: list[float], baselines: list[int]) -> np.ndarray:
     """Physical values [signal, sample] of interleaved little-endian 16-bit samples; the least value means missing."""
-    raw = np.frombuffer(data, "<i2", offset=prefix)
-    raw = raw[: len(raw) // n_signals * n_signals].reshape(-1, n_signals)
-    raw = raw[first : None if count is None else first + count]
+    raw = np.frombuffer(data, "<i2", len(data) // 2 // n_signals * n_signals).reshape(-1, n_signals)
     out = (raw - np.array(baselines)) / np.array(gains)
     out[raw == -32768] = np.nan
     return out.T
 
 
+def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or address, and the path there."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def read_range(path: str, first: int, size: int | None) -> bytes:
+    """Some bytes of a file, or all from a place on; nothing else of it is read."""
+    system, inner = _file_system(path)
+    with system.open_input_file(inner) as f:
+        return f.read_at(max(0, f.size() - first) if size is None else size, first)
+
+
 def signals(spark: SparkSession, folder: str, middle_seconds: float | None = None) -> DataFrame:
-    """(record, lead, fs, sig) of 16-bit records; `middle_seconds` reads a range around the middle."""
+    """(record, lead, fs, sig) of 16-bit records, one file or several; `middle_seconds` reads a range around the middle.
+
+    Only headers go through the plan: a task reads the bytes of its records from their files, and of a range no others.
+    """
     head = headers(spark, f"{folder}/*.hea").where(F.exists("signals", lambda s: s["format"] == 16))
-    head = head.withColumn("file", F.get("signals", 0)["file"])
-    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
             for r in frame.itertuples():
                 sig = [s if isinstance(s, dict) else s.asDict() for s in r.signals]
-                first, count = 0, None
+                first, count = 0, r.n_samples or None
                 if middle_seconds:
                     count = int(middle_seconds * r.fs)
                     first = max(0, r.n_samples // 2 - count // 2)
-                values = decode16(bytes(r.content), sig[0]["prefix"], r.n_signals, [s["gain"] for s in sig], [s["baseline"] for s in sig], first, count)
-                out += [(r.record, s["lead"], r.fs, v) for s, v in zip(sig, values, strict=True)]
-            yield pd.DataFrame(out, columns=["record", "lead", "fs", "sig"])
-
-    return head.join(files, "file").select("record", "n_signals", "fs", "n_samples", "signals", "content").mapInPandas(run, "record string, lead string, fs double, sig array<double>")
+                out = []
+                for name in dict.fromkeys(s["file"] for s in sig if s["format"] == 16):
+                    own = [s for s in sig if s["file"] == name]
+                    data = read_range(f"{r.path.rsplit('/', 1)[0]}/{name}", own[0]["prefix"] + 2 * len(own) * first, None if count is None else 2 * len(own) * count)
+                    values = decode16(data, len(own), [s["gain"] for s in own], [s["baseline"] for s in own])
+                    out += [(r.record, s["lead"], r.fs, v) for s, v in zip(own, values, strict=True)]
+                yield pd.DataFrame(out, columns=["record", "lead", "fs", "sig"])
+
+    return head.select("path", "record", "fs", "n_samples", "signals").mapInPandas(run, "record string, lead string, fs double, sig array<double>")
+
+
+def write_records(rows: DataFrame, folder: str, fs_hz: float, gain: float = 1000.0) -> int:
+    """Write (record, lead, sig) as a header and a 16-bit file for each record; gives the number of records.
+
+    A record written again, by a task that ran twice, replaces itself.
+    """
+    system, inner = _file_system(folder)
+    system.create_dir(inner, recursive=True)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("lead")
+        record, n = str(frame["record"].iloc[0]), len(frame["sig"].iloc[0])
+        raw = np.stack([np.floor(np.asarray(x, float) * gain + 0.5).astype("<i2") for x in frame["sig"]], axis=1)
+        lines = [f"{record} {len(frame)} {fs_hz:g} {n}", *(f"{record}.dat 16 {gain:g}(0)/mV 16 0 0 0 0 {lead}" for lead in frame["lead"])]
+        system, inner = _file_system(folder)
+        for name, data in ((f"{record}.dat", raw.tobytes()), (f"{record}.hea", "\n".join(lines).encode() + b"\n")):
+            with system.open_output_stream(f"{inner}/{name}") as f:
+                f.write(data)
+        return pd.DataFrame({"records": [1]})
+
+    return rows.groupBy("record").applyInPandas(run, "records long").groupBy().sum("records").first()[0] or 0
 
 
 #: Annotation codes of beats and of rhythm changes, as the format defines them.

@@ -201,3 +201,23 @@ def test_sink_replaces_a_batch_run_again(spark, tmp_path):
         write(spark.range(5), 0)
     write(spark.range(3), 1)
     assert spark.read.parquet(str(tmp_path)).count() == 8
+
+
+def test_disjoint_intervals(spark):
+    rng = random.Random(6)
+    rows = [(i, a, a + rng.choice([0.1, 1.0, 8.0])) for i, a in enumerate(rng.uniform(0, 300) for _ in range(200))]
+    want = {i for i, a, b in rows if all(j == i or c > b or d < a for j, c, d in rows)}
+    got = {r.k for r in joins.disjoint(spark.createDataFrame(rows, "k long, low double, high double"), "k", "low", "high").collect()}
+    assert got == want and want
+    assert joins.disjoint(spark.createDataFrame([(1, 2.0, 3.0)], "k long, low double, high double"), "k", "low", "high").count() == 1
+
+
+def test_a_record_in_two_files(spark, tmp_path):
+    (tmp_path / "m.hea").write_text("m 3 100 4\na.dat 16 100(0)/mV 16 0 0 0 0 I\na.dat 16 100(0)/mV 16 0 0 0 0 II\nb.dat 16 50(5)/mV 16 0 0 0 0 V1\n")
+    (tmp_path / "a.dat").write_bytes(np.array([[100, 200], [0, 0], [300, 400], [1, 2]], "<i2").tobytes())
+    (tmp_path / "b.dat").write_bytes(np.array([5, 55, 105, -45], "<i2").tobytes())
+    got = {r.lead: r.sig for r in recordings.signals(spark, str(tmp_path)).collect()}
+    assert got == {"I": [1, 0, 3, 0.01], "II": [2, 0, 4, 0.02], "V1": [0, 1, 2, -1]}
+    got = {r.lead: r.sig for r in recordings.signals(spark, str(tmp_path), middle_seconds=0.02).collect()}
+    assert got == {"I": [0, 3], "II": [0, 4], "V1": [1, 2]}
+    assert recordings.read_range(f"file:{tmp_path}/b.dat", 2, 2) == (55).to_bytes(2, "little")
