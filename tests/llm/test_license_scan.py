@@ -76,8 +76,8 @@ def test_parts_cover_a_template(n):
 
 
 def test_long_texts_full_of_notices_and_without_any(spark):
-    # 10 MB in the first; a chunk at a time, whatever it holds.
-    full = "Released under the MIT License. " * 320_000
+    # 3 MB in the first; a chunk at a time, whatever it holds.
+    full = "Released under the MIT License. " * 100_000
     mixed = " ".join(scan.TEMPLATES.values()) + " "
     rows = [(1, full), (2, "nothing to see in here at all " * 100_000), (3, mixed * 20), (4, "x " * 100_000 + scan.TEMPLATES["BSD-3-Clause/text"])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
