@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import zstandard
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 
 def squeeze(values: np.ndarray) -> bytes:
     """An array as compressed bytes, all first bytes first."""
@@ -64,7 +67,8 @@ class Distinct:
     #: Codes gathered before they are sorted and counted, and runs of them before those are merged.
     GATHER, RUNS = 1_000_000, 16
 
-    def __init__(self) -> None:
+    def __init__(self, runs: int = RUNS) -> None:
+        self.most = runs
         self.fresh: dict[bool, list[np.ndarray]] = {True: [], False: []}
         self.size = 0
         self.runs: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
@@ -74,7 +78,7 @@ class Distinct:
         if counted and times > 1:
             codes, n = np.unique(codes, return_counts=True)
             self.runs.append((codes, n * times))
-            if len(self.runs) >= self.RUNS:
+            if len(self.runs) >= self.most:
                 self.runs = [_merged(self.runs)]
             return
         self.fresh[counted].append(codes)
@@ -82,6 +86,12 @@ class Distinct:
         if self.size >= self.GATHER:
             self._close()
 
+    def merge(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        """Take in distinct, sorted codes and how often each was counted."""
+        self.runs.append((codes, counts))
+        if len(self.runs) >= self.most:
+            self.runs = [_merged(self.runs)]
+
     def _close(self) -> None:
         for counted, parts in self.fresh.items():
             if parts:
@@ -89,7 +99,7 @@ class Distinct:
                 self.runs.append((codes, n if counted else np.zeros(len(codes), np.int64)))
                 parts.clear()
         self.size = 0
-        if len(self.runs) >= self.RUNS:
+        if len(self.runs) >= self.most:
             self.runs = [_merged(self.runs)]
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:

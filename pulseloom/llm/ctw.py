@@ -6,11 +6,11 @@ weighted mixture of all depths gives the chance of each decision, so every text
 
 A Krichevsky-Trofimov estimate depends on counts only, so training is counting. Documents are dealt into blocks of bounded
 size; each block counts its distinct (context, byte) grams and its words, sorts them and sends them on as compressed
-arrays, dealt out by the last two context bytes. A task that holds all grams of some such endings sums them over the
+arrays, dealt out by the last two context bytes. A task that gets all grams of some such endings sums them over the
 blocks and weights their subtrees; the two shallow levels are a table of at most 2^16 rows that every task gets. The log
-probabilities return to each block as arrays in its own order and the whole texts are scored there. With many blocks the
-arrays are first summed over salted sets of blocks, so that no task meets those of all blocks. No table of grams or words
-is sent to every executor, and what is gathered grows with the corpus.
+probabilities return to each block as arrays in its own order and the whole texts are scored there. Tasks read sorted rows
+as a stream: one holds its summed grams or words and a batch of rows, however many blocks there are and whichever of
+them lack its endings. No table of grams or words is sent to every executor, and what is gathered grows with the corpus.
 
 The chances of grams travel back as 32-bit floats, half of what doubles take of the shuffle; each is rounded by less than
 one in 10^7, and they are added up as doubles. Beside the score stands the code length in bits for each byte coded.
@@ -24,11 +24,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
+from functools import cached_property
+from itertools import batched
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,13 +44,17 @@ DEPTH = 6
 BLOCK_BYTES = 18_000_000
 #: The end of a text, a byte that no word has; it is coded like any other.
 END = 10
-#: Bytes of text for each task that sums and weights grams, and blocks whose arrays one task sums.
-TASK_BYTES, SALT_BLOCKS = 16_000_000, 64
+#: Bytes of text for each task that sums and weights grams.
+TASK_BYTES = 16_000_000
+#: Grams whose subtrees are weighted at a time, or those of one context ending.
+SLICE = 200_000
+#: Runs of counted grams that are held before they are merged, and rows of a batch that is handed on.
+RUNS, ROWS = 6, 64
 
 #: Bytes of a text that are coded at a time.
 SEGMENT = 2_000_000
 
-GRAMS, WORDS = 0, 1
+GRAMS, WORDS, TEXTS = 0, 1, 2
 
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
@@ -110,40 +116,59 @@ def _log_factorial(n: np.ndarray) -> np.ndarray:
     return np.where(n < 2 * _TABLE, _fact[np.minimum(n, 2 * _TABLE - 1).astype(np.int64)], far)
 
 
+class Nodes(NamedTuple):
+    """The nodes of a level for one bit; `of` has the node of each of the level's codes, `starts` the first code of each node."""
+
+    starts: np.ndarray
+    of: np.ndarray
+    keys: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    weighted: np.ndarray
+    stay: np.ndarray
+
+
 class Level:
     """The nodes of one depth over a set of grams: for each bit, a context of that depth and the bits decided before it.
 
     `codes` are the distinct grams cut to this depth, sorted, so that the grams of a node stand together; `up` tells for
-    each which of the next shallower level's it belongs to.
+    each which of the next shallower level's it belongs to. Nodes take many times the memory of codes, so they are made for
+    one bit at a time and only the shallowest level's are kept.
     """
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray, below: Level | None):
-        self.codes, self.counts, self.up = codes, counts, None
-        self.of, self.zeros, self.ones, self.keys, self.weighted, self.stay = [], [], [], [], [], []
-        for bit in range(8):
-            # A node's key: the context bytes and the bits of the byte decided so far, under a leading 1.
-            key = codes >> np.uint64(8 - bit)
-            new = np.ones(len(codes), bool)
-            np.not_equal(key[1:], key[:-1], out=new[1:])
-            starts, of = np.flatnonzero(new), np.cumsum(new) - 1
-            one = codes >> np.uint64(7 - bit) & np.uint64(1)
-            total = np.bincount(of, counts, len(starts))
-            ones = np.bincount(of, counts * one, len(starts))
-            heads = codes[starts]
-            self.keys.append(heads >> np.uint64(8) << np.uint64(8) | (heads & np.uint64(255)) >> np.uint64(8 - bit) | np.uint64(1 << bit))
-            self.of.append(of)
-            self.zeros.append(total - ones)
-            self.ones.append(ones)
-            estimate = log_kt(total - ones, ones)
-            if below is None:
-                self.weighted.append(estimate)
-                self.stay.append(np.ones(len(starts)))
-            else:
-                under = np.bincount(of[below.up[below.starts[bit]]], below.weighted[bit], len(starts))
-                weighted = np.logaddexp(estimate, under) - np.log(2)
-                self.weighted.append(weighted)
-                self.stay.append(np.exp(estimate - np.log(2) - weighted))
-            self.__dict__.setdefault("starts", []).append(starts)
+        self.codes, self.counts, self.below, self.up = codes, counts, below, None
+
+    def bit(self, bit: int) -> list[Nodes]:
+        """The nodes of a bit, of the deepest level first and of this one last."""
+        deeper = self.below.bit(bit) if self.below else []
+        codes, counts = self.codes, self.counts
+        # A node's key: the context bytes and the bits of the byte decided so far, under a leading 1.
+        key = codes >> np.uint64(8 - bit)
+        new = np.ones(len(codes), bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        starts, of = np.flatnonzero(new), np.cumsum(new) - 1
+        one = codes >> np.uint64(7 - bit) & np.uint64(1)
+        total = np.bincount(of, counts, len(starts))
+        ones = np.bincount(of, counts * one, len(starts))
+        heads = codes[starts]
+        keys = heads >> np.uint64(8) << np.uint64(8) | (heads & np.uint64(255)) >> np.uint64(8 - bit) | np.uint64(1 << bit)
+        estimate = log_kt(total - ones, ones)
+        if not deeper:
+            return [Nodes(starts, of, keys, total - ones, ones, estimate, np.ones(len(starts)))]
+        under = np.bincount(of[self.below.up[deeper[-1].starts]], deeper[-1].weighted, len(starts))
+        weighted = np.logaddexp(estimate, under) - np.log(2)
+        return [*deeper, Nodes(starts, of, keys, total - ones, ones, weighted, np.exp(estimate - np.log(2) - weighted))]
+
+    @cached_property
+    def nodes(self) -> list[Nodes]:
+        """This level's nodes of each bit."""
+        return [self.bit(bit)[-1] for bit in range(8)]
+
+    keys = property(lambda self: [n.keys for n in self.nodes])
+    zeros = property(lambda self: [n.zeros for n in self.nodes])
+    ones = property(lambda self: [n.ones for n in self.nodes])
+    weighted = property(lambda self: [n.weighted for n in self.nodes])
 
 
 def subtrees(codes: np.ndarray, counts: np.ndarray, down_to: int) -> list[Level]:
@@ -156,7 +181,20 @@ def subtrees(codes: np.ndarray, counts: np.ndarray, down_to: int) -> list[Level]
     return levels
 
 
-def log10_chances(levels: list[Level], top: dict[str, np.ndarray]) -> np.ndarray:
+def by_ending(codes: np.ndarray) -> Iterator[np.ndarray]:
+    """The places, in order, of sorted grams whose subtrees down to depth 2 are weighted together: those of whole endings."""
+    ending = codes >> 8 & 0xFFFF
+    order = np.argsort(ending, kind="stable")
+    cuts = np.flatnonzero(np.diff(ending[order])) + 1
+    at = 0
+    for stop, after in zip([*cuts, len(codes)], [*cuts[1:], len(codes), len(codes)], strict=False):
+        # A slice ends where the next ending would make it too large.
+        if stop > at and (after - at > SLICE or stop == len(codes)):
+            yield np.sort(order[at:stop])
+            at = stop
+
+
+def log10_chances(levels: list[Level], top: Mapping[str, np.ndarray]) -> np.ndarray:
     """log10 of each gram's byte given its context; `levels` come deepest first, `top` has the two shallow levels."""
     codes = levels[0].codes
     out = np.zeros(len(codes))
@@ -164,10 +202,10 @@ def log10_chances(levels: list[Level], top: dict[str, np.ndarray]) -> np.ndarray
     for bit in range(8):
         one = (byte >> np.uint64(7 - bit) & np.uint64(1)).astype(bool)
         p, at = np.zeros(len(codes)), np.arange(len(codes))
-        for k, level in enumerate(levels):
-            a, b = level.zeros[bit], level.ones[bit]
-            node = level.of[bit][at]
-            stay = level.stay[bit][node]
+        for k, (level, nodes) in enumerate(zip(levels, levels[-1].bit(bit), strict=True)):
+            a, b = nodes.zeros, nodes.ones
+            node = nodes.of[at]
+            stay = nodes.stay[node]
             p = stay * ((b + 0.5) / (a + b + 1))[node] + (1 - stay) * p
             if k < len(levels) - 1:
                 at = level.up[at]
@@ -180,7 +218,7 @@ def log10_chances(levels: list[Level], top: dict[str, np.ndarray]) -> np.ndarray
     return out
 
 
-def shallow(nodes: pd.DataFrame) -> dict[str, np.ndarray]:
+def shallow(nodes: Mapping[str, np.ndarray]) -> dict[str, np.ndarray]:
     """The levels 1 and 0, as tables, from counts and weighted sums of the nodes at depth 2 by their key at depth 1."""
     size = 1 << 16
     zeros, ones, under = (np.bincount(nodes["key"], nodes[c], size) for c in ("zeros", "ones", "weighted"))
@@ -228,8 +266,8 @@ def _count(blocks: DataFrame, tasks: int) -> DataFrame:
             yield block, WORDS, task, _put_words(mine), arrays.squeeze(np.fromiter((known[w] for w in mine), np.int64, len(mine)))
 
     def made(*block) -> Iterator[pa.RecordBatch]:
-        for row in rows(*block):
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES, strict=True)], names=["block", "kind", "task", "keys", "counts"])
+        for some in batched(rows(*block), ROWS):
+            yield _batch(_PARTS, some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, None
@@ -239,7 +277,7 @@ def _count(blocks: DataFrame, tasks: int) -> DataFrame:
                 if block != current:
                     if held:
                         yield from made(current, *held)
-                    current, held = block, (arrays.Distinct(), Counter(), set())
+                    current, held = block, (arrays.Distinct(RUNS), Counter(), set())
                 for words, codes in coded(text.as_py()):
                     held[0].add(codes, train, copies)
                     if not train:
@@ -254,82 +292,130 @@ def _count(blocks: DataFrame, tasks: int) -> DataFrame:
         common.trim()
 
     # Sorted, so that a task holds one block at a time even where several fall to it.
-    return blocks.sortWithinPartitions("block").mapInArrow(run, "block long, kind int, task int, keys binary, counts binary")
+    return blocks.sortWithinPartitions("block").mapInArrow(run, _sql(_PARTS))
+
+
+_PARTS = {"block": "long", "kind": "int", "task": "int", "keys": "binary", "counts": "binary"}
+_TOTALS = {"kind": "int", "task": "int", "keys": "binary", "counts": "binary", "total": "long", "known": "long"}
+_NODES = {"key": "long", "zeros": "double", "ones": "double", "weighted": "double"}
+_BACK = {"block": "long", "kind": "int", "keys": "binary", "vals": "binary"}
+_SCORES = {"doc_id": "long", "row_key": "binary", "held_out": "boolean", "n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double", "bits_per_byte": "double"}
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def _sql(columns: dict[str, str]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in columns.items())
 
 
-_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+def _batch(columns: dict[str, str], rows: list[tuple]) -> pa.RecordBatch:
+    values = zip(*rows, strict=True) if rows else [()] * len(columns)
+    return pa.RecordBatch.from_arrays([pa.array(v, _ARROW[k]) for v, k in zip(values, columns.values(), strict=True)], names=list(columns))
 
 
-def _sum_words(rows: pd.DataFrame) -> dict[bytes, int]:
-    total: dict[bytes, int] = {}
-    for k, c in zip(rows["keys"], rows["counts"], strict=True):
-        for w, n in zip(_get_words(k), arrays.spread(c, np.int64).tolist(), strict=True):
-            total[w] = total.get(w, 0) + n
-    return total
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in names), strict=True)
 
 
-def _summed(parts: DataFrame, salts: int) -> DataFrame:
-    """(kind, task, keys, counts, total, known) over all blocks, by salted sets of blocks first; `total` adds up the counts,
-    `known` tells how many are not zero."""
+def _add_words(total: dict[bytes, int], keys: bytes, counts: bytes) -> None:
+    for w, n in zip(_get_words(keys), arrays.spread(counts, np.int64).tolist(), strict=True):
+        total[w] = total.get(w, 0) + n
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        if rows["kind"].iloc[0] == GRAMS:
-            codes, n = arrays.sum_sorted(rows)
+
+def _summed(parts: DataFrame) -> DataFrame:
+    """(kind, task, keys, counts, total, known) over all blocks; `total` adds up the counts, `known` tells how many are not
+    zero."""
+
+    def row(kind: int, task: int, grams: arrays.Distinct, words: dict[bytes, int]) -> tuple:
+        if kind == GRAMS:
+            codes, n = grams.finish()
             keys = arrays.put_sorted(codes)
         else:
-            total = sorted(_sum_words(rows).items())
+            total = sorted(words.items())
             keys, n = _put_words([w for w, _ in total]), np.array([n for _, n in total], np.int64)
-        return pd.DataFrame({"kind": [rows["kind"].iloc[0]], "task": [rows["task"].iloc[0]], "keys": [keys], "counts": [arrays.squeeze(n)], "total": [int(n.sum())], "known": [int((n > 0).sum())]})
+        return kind, task, keys, arrays.squeeze(n), int(n.sum()), int((n > 0).sum())
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, None
+        for kind, task, keys, counts in _rows(batches, "kind", "task", "keys", "counts"):
+            if (kind, task) != current:
+                if held:
+                    yield _batch(_TOTALS, [row(*current, *held)])
+                current, held = (kind, task), (arrays.Distinct(4 * RUNS), {})
+            if kind == GRAMS:
+                held[0].merge(arrays.get_sorted(keys), arrays.spread(counts, np.int64))
+            else:
+                _add_words(held[1], keys, counts)
+        if held:
+            yield _batch(_TOTALS, [row(*current, *held)])
+        held = None
+        common.trim()
 
-    schema = "kind int, task int, keys binary, counts binary, total long, known long"
-    found = parts.groupBy("kind", "task", "salt").applyInPandas(add, schema)
-    return found.groupBy("kind", "task").applyInPandas(add, schema) if salts > 1 else found
+    return parts.repartition("kind", "task").sortWithinPartitions("kind", "task").mapInArrow(add, _sql(_TOTALS))
 
 
 def shallow_levels(totals: DataFrame) -> dict[str, np.ndarray]:
     """The two shallow levels of all trees."""
 
-    def depth_two(rows: pd.DataFrame) -> pd.DataFrame:
-        codes, n = arrays.sum_sorted(rows)
-        level = subtrees(codes.view(np.uint64), n.astype(float), 2)[-1]
-        found = [(k & np.uint64(0xFFFF), a, b, w) for k, a, b, w in zip(level.keys, level.zeros, level.ones, level.weighted, strict=True)]
-        return pd.DataFrame({c: np.concatenate([f[i] for f in found]).astype(t) for i, (c, t) in enumerate((("key", np.int64), ("zeros", float), ("ones", float), ("weighted", float)))})
+    def depth_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, counts in _rows(batches, "keys", "counts"):
+            codes, n = arrays.get_sorted(keys), arrays.spread(counts, np.int64).astype(float)
+            for part in by_ending(codes):
+                level = subtrees(codes[part].view(np.uint64), n[part], 2)[-1]
+                found = ([k & np.uint64(0xFFFF) for k in level.keys], level.zeros, level.ones, level.weighted)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f), _ARROW[t]) for f, t in zip(found, _NODES.values(), strict=True)], names=list(_NODES))
+        common.trim()
 
-    nodes = totals.where(F.col("kind") == GRAMS).groupBy("task").applyInPandas(depth_two, "key long, zeros double, ones double, weighted double")
+    nodes = totals.where(F.col("kind") == GRAMS).select("keys", "counts").mapInArrow(depth_two, _sql(_NODES))
     nodes = nodes.groupBy("key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted"))
-    found = [tuple(r) for r in nodes.collect()]  # at most 2^16 rows: one context byte and the bits decided
-    return shallow(pd.DataFrame(found, columns=["key", "zeros", "ones", "weighted"]).astype({"key": np.int64, "zeros": float, "ones": float, "weighted": float}))
+    found = np.array([tuple(r) for r in nodes.collect()], float).reshape(-1, len(_NODES))  # at most 2^16 rows: one context byte and the bits decided
+    return shallow({"key": found[:, 0].astype(np.int64), "zeros": found[:, 1], "ones": found[:, 2], "weighted": found[:, 3]})
 
 
-def _returned(parts: DataFrame, totals: DataFrame, top: dict[str, np.ndarray], salts: int) -> DataFrame:
+def _returned(parts: DataFrame, totals: DataFrame, top: dict[str, np.ndarray]) -> DataFrame:
     """(block, kind, keys, vals): for each key of a part, in its order, the gram's log10 chance or the word's count."""
     sent = parts.sparkSession.sparkContext.broadcast(top)
 
-    def look(rows: pd.DataFrame, total: pd.DataFrame) -> pd.DataFrame:
-        vals = []
-        if rows["kind"].iloc[0] == GRAMS:
-            codes, n = arrays.sum_sorted(total)
-            chances = log10_chances(subtrees(codes.view(np.uint64), n.astype(float), 2), sent.value).astype(np.float32)
-            for k in rows["keys"]:
-                vals.append(arrays.squeeze(chances[np.searchsorted(codes, arrays.get_sorted(k))]))
-        else:
-            counts = _sum_words(total)
-            for k in rows["keys"]:
-                vals.append(arrays.squeeze(np.array([counts[w] for w in _get_words(k)], np.int64)))
-        return pd.DataFrame({"block": rows["block"], "kind": rows["kind"], "keys": rows["keys"], "vals": vals})
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, chances, words = None, None, {}
+        for batch in batches:
+            out = []
+            for block, kind, keys, counts in _rows([batch], "block", "kind", "keys", "counts"):
+                if block is None:  # the sums of a task come before the parts of the blocks
+                    codes, chances, words = None, None, {}
+                    if kind == GRAMS:
+                        codes, n = arrays.get_sorted(keys), arrays.spread(counts, np.int64).astype(float)
+                        chances = np.zeros(len(codes), np.float32)
+                        for part in by_ending(codes):
+                            chances[part] = log10_chances(subtrees(codes[part].view(np.uint64), n[part], 2), sent.value)
+                    else:
+                        _add_words(words, keys, counts)
+                elif kind == GRAMS:
+                    out.append((block, kind, keys, arrays.squeeze(chances[np.searchsorted(codes, arrays.get_sorted(keys))])))
+                else:
+                    out.append((block, kind, keys, arrays.squeeze(np.array([words[w] for w in _get_words(keys)], np.int64))))
+            yield _batch(_BACK, out)
+        codes = chances = words = None
+        common.trim()
 
-    each = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    keys = ["kind", "task", "salt"]
-    return parts.select("block", *keys, "keys").groupBy(*keys).cogroup(each.groupBy(*keys)).applyInPandas(look, "block long, kind int, keys binary, vals binary")
+    columns = ["block", "kind", "task", "keys", "counts"]
+    sums = totals.withColumn("block", F.lit(None).cast("long")).select(columns)
+    each = sums.union(parts.withColumn("counts", F.lit(None).cast("binary")).select(columns))
+    return each.repartition("kind", "task").sortWithinPartitions("kind", "task", F.col("block").asc_nulls_first()).mapInArrow(look, _sql(_BACK))
 
 
 class Lookup:
     """Values of 64-bit keys in an open hash table, looked up for whole arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(len(keys) * 3).bit_length())
+        self.bits = max(4, int(len(keys) * 2).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.values = np.zeros(1 << self.bits)
+        self.values = np.zeros(1 << self.bits, values.dtype)
+        for a in range(0, len(keys), SLICE):
+            self._put(keys[a : a + SLICE], values[a : a + SLICE])
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
         left = np.arange(len(keys))
         at = self._slot(keys)
         while len(left):
@@ -356,6 +442,40 @@ class Lookup:
         return out
 
 
+class Values:
+    """What the grams and words of a block are worth: log10 chances and counts, and `log` of the counts."""
+
+    def __init__(self, log: Callable[[np.ndarray], np.ndarray]):
+        self._log = log
+        self.chances: list[tuple[np.ndarray, np.ndarray]] = []
+        self.place: dict[bytes, int] = {}
+        self._counts: list[np.ndarray] = [np.zeros(0, np.int64)]
+
+    def take(self, kind: int, keys: bytes, vals: bytes) -> None:
+        if kind == GRAMS:
+            self.chances.append((arrays.get_sorted(keys), arrays.spread(vals, np.float32)))
+        else:
+            words = _get_words(keys)
+            self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+            self._counts.append(arrays.spread(vals, np.int64))
+
+    # The following are made when a block's first text comes, after all its grams and words.
+
+    @cached_property
+    def known(self) -> np.ndarray:
+        return np.concatenate(self._counts) > 0
+
+    @cached_property
+    def log(self) -> np.ndarray:
+        return self._log(np.concatenate(self._counts))
+
+    @cached_property
+    def lookup(self) -> Lookup:
+        found = Lookup(*(np.concatenate(c) for c in zip(*self.chances, strict=True)))
+        self.chances.clear()
+        return found
+
+
 def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every whole text."""
     spark = docs.sparkSession
@@ -364,53 +484,59 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     rows = rows.withColumn("train", training(F.col("doc_id")))
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n_blocks, tasks = max(12, -(-size // block_bytes)), max(24, -(-size // TASK_BYTES))
-    salts = -(-n_blocks // SALT_BLOCKS)
-    block = F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(n_blocks))
-    blocks = rows.withColumn("block", block).repartition(n_blocks, "block")
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(n_blocks)))
 
     with common.scratch() as keep:
-        counted = common.materialize(_count(blocks, tasks), "ctw-parts")
-        parts = counted.withColumn("salt", (F.col("block") % salts).cast("int"))
+        parts = common.materialize(_count(blocks.repartition(n_blocks, "block"), tasks), "ctw-parts")
         common.release(spark)
-        totals = common.materialize(_summed(parts, salts), "ctw-totals")
+        totals = common.materialize(_summed(parts), "ctw-totals")
         n_train = rows.where("train").agg(F.sum("copies")).first()[0] or 0
         known = totals.where(F.col("kind") == WORDS).agg(F.sum("total"), F.sum("known")).first()
         total, distinct = (known[0] or 0) + n_train, (known[1] or 0) + (n_train > 0)
         common.release(spark)
-        back = keep(common.materialize(_returned(parts, totals.drop("total", "known"), shallow_levels(totals), salts), "ctw-values"))
+        back = keep(common.materialize(_returned(parts, totals, shallow_levels(totals)), "ctw-values"))
     common.release(spark)
 
-    def run(key, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        mine = {kind: found[found["kind"] == kind] for kind in (GRAMS, WORDS)}
-        lookup = Lookup(*(np.concatenate([get(x) for x in mine[GRAMS][c]]) for c, get in (("keys", arrays.get_sorted), ("vals", lambda v: arrays.spread(v, np.float32)))))
-        place: dict[bytes, int] = {}
-        for k in mine[WORDS]["keys"]:
-            words = _get_words(k)
-            place.update(zip(words, range(len(place), len(place) + len(words)), strict=True))
-        counts = np.concatenate([np.zeros(0), *(arrays.spread(v, np.int64) for v in mine[WORDS]["vals"])])
-        chance = lambda c: np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-        log, known, end = chance(counts), counts > 0, float(chance(n_train))
-        out = []
-        for doc_id, row_key, train, text in zip(texts["doc_id"], texts["row_key"], texts["train"], texts["text"], strict=True):
-            n_words, n_known, base, whole, n_bytes = 0, 0, 0.0, 0.0, 0
-            for words, codes in coded(text):
-                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-                n_words += len(words)
-                n_known += int(np.count_nonzero(known[at]))
-                base += float(log[at].sum())
-                whole += float(lookup(codes).sum())
-                n_bytes += len(codes)
-            out.append((doc_id, row_key, not train, n_words + 1, n_known + (n_train > 0), total, base + end, whole, -whole * _BITS / n_bytes))
-        del lookup, place
+    def chance(c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
+
+    def scored(block: Values, text: bytes) -> tuple:
+        n_words, n_known, base, whole, n_bytes = 0, 0, 0.0, 0.0, 0
+        for words, codes in coded(text):
+            at = np.fromiter(map(block.place.__getitem__, words), np.int64, len(words))
+            n_words += len(words)
+            n_known += int(np.count_nonzero(block.known[at]))
+            base += float(block.log[at].sum())
+            whole += float(block.lookup(codes).sum(dtype=float))
+            n_bytes += len(codes)
+        return n_words + 1, n_known + (n_train > 0), total, base + float(chance(n_train)), whole, -whole * _BITS / n_bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, None
+        for batch in batches:
+            out = []
+            columns = [batch.column(c).to_pylist() for c in ("block", "kind", "doc_id", "row_key", "train")]
+            for block, kind, doc_id, row_key, train, keys, vals in zip(*columns, batch.column("keys"), batch.column("vals"), strict=True):
+                if block != current:
+                    held = None
+                    common.trim()
+                    current, held = block, Values(chance)
+                if kind == TEXTS:
+                    out.append((doc_id, row_key, not train, *scored(held, keys.as_py())))
+                else:
+                    held.take(kind, keys.as_py(), vals.as_py())
+            yield _batch(_SCORES, out)
+        held = None
         common.trim()
-        return pd.DataFrame(out, columns=_COLUMNS).astype({"doc_id": "Int64"})
 
-    schema = "doc_id long, row_key binary, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return common.spread_copies(blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(run, schema), repeated).drop("row_key")
+    nothing = {name: F.lit(None).cast(kind).alias(name) for name, kind in {"doc_id": "long", "row_key": "binary", "train": "boolean", "vals": "binary"}.items()}
+    values = back.select("block", "kind", nothing["doc_id"], nothing["row_key"], nothing["train"], "keys", "vals")
+    texts = blocks.select("block", F.lit(TEXTS).alias("kind"), "doc_id", "row_key", "train", F.col("text").alias("keys"), nothing["vals"])
+    found = values.union(texts).repartition(n_blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(run, _sql(_SCORES))
+    return common.spread_copies(found, repeated).drop("row_key")
 
 
 _BITS = float(np.log2(10))
-_COLUMNS = ["doc_id", "row_key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,3 +140,31 @@ def test_held_out_scores_beat_the_base(spark):
     got = ctw.query(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     print(got)
     assert got.s > got.b
+
+
+def test_rare_endings_in_a_few_of_many_blocks(spark):
+    # More than 64 blocks, most of which lack the endings, and so the tasks, of the rare text.
+    rows = [(i, "aaaa aaa", 0.0, "x") for i in range(100)] + [(100, "quick brown jumps éü 0123456789 ZYXWV", 0.0, "x"), (101, None, 0.0, "x")]
+    got = ctw.score(frame(spark, rows), block_bytes=30).collect()
+    assert sorted(r.doc_id for r in got) == [i for i, *_ in rows]
+    train = [t for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    want = dict(zip(("aaaa aaa", rows[100][1], None), brute(train, ["aaaa aaa", rows[100][1], None], ctw.DEPTH), strict=True))
+    assert all(r.score == pytest.approx(want[rows[r.doc_id][1]], rel=1e-6) for r in got)
+    assert {r.train_tokens for r in got} == {sum(len((t or "").split()) + 1 for t in train)}
+
+
+def test_slices_of_whole_endings_change_nothing(monkeypatch):
+    codes = np.unique(np.concatenate([g for t in TEXTS for _, g in ctw.coded((t or "").encode())]))
+    counts = np.arange(len(codes)) % 4.0
+    top = {f"{what}{depth}": np.full(1 << 16, 0.5) for what in ("stay", "one") for depth in (0, 1)}
+    whole = ctw.log10_chances(ctw.subtrees(codes.view(np.uint64), counts, 2), top)
+    for size in (1, 7, len(codes)):
+        monkeypatch.setattr(ctw, "SLICE", size)
+        parts = list(ctw.by_ending(codes))
+        assert sorted(np.concatenate(parts).tolist()) == list(range(len(codes)))
+        ends = [set((codes[p] >> 8 & 0xFFFF).tolist()) for p in parts]
+        assert sum(map(len, ends)) == len(set().union(*ends)) and all(len(p) <= size or len(e) == 1 for p, e in zip(parts, ends, strict=True))
+        got = np.zeros(len(codes))
+        for p in parts:
+            got[p] = ctw.log10_chances(ctw.subtrees(codes[p].view(np.uint64), counts[p], 2), top)
+        assert got == pytest.approx(whole, rel=1e-12)
